@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import sql
+from . import abuse, sql
 from .boilerplate import find_furniture
 from .mojibake import find_garbled
 from .repeated import find_repeated
 from .residue import non_articles, residue_rates
+from .truncation import cut_rates, verdicts
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,5 +39,35 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_garbled(table(spark, folder, "noticias"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that break off before their last sentence is complete."""
+    return verdicts(table(spark, folder, "noticias")).select("noticia_id", "campo")
+
+
+def p7_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of cut values by source and field."""
+    return cut_rates(table(spark, folder, "noticias"))
+
+
+def _scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return abuse.score(docs, abuse.fit(docs, table(spark, folder, "muestras_moderacion")))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with an abusive, hateful or sexually explicit passage."""
+    return _scores(spark, folder).where(F.col("puntaje") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of every document."""
+    return _scores(spark, folder)
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Rate of such documents by source."""
+    return abuse.rates(table(spark, folder, "documents"), _scores(spark, folder))
+
+
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p7_rates": p7_rates, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 SQL = sql.SQL
