@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from . import abuse, sql
 from .boilerplate import find_furniture
+from .mixing import draw, reached
 from .mojibake import find_garbled
+from .packing import fill, pack
 from .repeated import find_repeated
 from .residue import non_articles, residue_rates
 from .truncation import cut_rates, verdicts
@@ -49,6 +51,31 @@ def p7_rates(spark: SparkSession, folder: str) -> DataFrame:
     return cut_rates(table(spark, folder, "noticias"))
 
 
+def _containers(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    return [(r[0], r[1]) for r in table(spark, folder, "contenedores").select("contenedor", "capacidad_tokens").orderBy("capacidad_tokens").collect()]
+
+
+def p8_assignment(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every document in containers of each size."""
+    return pack(table(spark, folder, "documents"), _containers(spark, folder))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each size are."""
+    sizes = _containers(spark, folder)
+    return fill(pack(table(spark, folder, "documents"), sizes), sizes)
+
+
+def p9_drawn(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of the mix and how often each is used."""
+    return draw(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares the mix reached."""
+    return reached(p9_drawn(spark, folder), table(spark, folder, "mix_targets"))
+
+
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return abuse.score(docs, abuse.fit(docs, table(spark, folder, "muestras_moderacion")))
@@ -69,5 +96,5 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.rates(table(spark, folder, "documents"), _scores(spark, folder))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p7_rates": p7_rates, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p7_rates": p7_rates, "p8_assignment": p8_assignment, "p8_fill": p8_fill, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 SQL = sql.SQL
