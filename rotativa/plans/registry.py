@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packed
+from . import matching, packed, text
 
-_MODULES = (packed,)
-FLAGSHIP = packed.p5_found
+_MODULES = (matching, packed, text)
+FLAGSHIP = matching.mentions_by_rule
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
