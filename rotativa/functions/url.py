@@ -26,7 +26,7 @@ def domain(c: Column | str) -> Column:
 
 def path(c: Column | str) -> Column:
     """Path without query and fragment, at least ``/``."""
-    p = F.regexp_extract(F.trim(_col(c)), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]+(/[^?#]*)", 1)
+    p = F.regexp_extract(F.trim(_col(c)), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?+[^/?#]+(/[^?#]*)", 1)
     return F.when(F.length(p) > 0, p).otherwise("/")
 
 

@@ -46,8 +46,8 @@ def best_match(pairs: DataFrame) -> DataFrame:
 
 def reconcile(a: DataFrame, b: DataFrame, best: DataFrame) -> DataFrame:
     """(a_id, b_id, estado, score): MATCH, MATCH_PROBABLE, REVISAR, SOLO_A or SOLO_B; several a may share a b."""
-    state = F.element_at(F.array(F.lit("REVISAR"), F.lit("MATCH_PROBABLE"), F.lit("MATCH")), F.col("tier"))
-    left = a.select(F.col("id").alias("a_id")).join(best, "a_id", "left").select("a_id", "b_id", F.coalesce(state, F.lit("SOLO_A")).alias("estado"), "score")
+    state = F.when(F.col("tier") == 3, "MATCH").when(F.col("tier") == 2, "MATCH_PROBABLE").when(F.col("tier") == 1, "REVISAR").otherwise("SOLO_A")
+    left = a.select(F.col("id").alias("a_id")).join(best, "a_id", "left").select("a_id", "b_id", state.alias("estado"), "score")
     alone = b.select(F.col("id").alias("b_id")).join(best.select("b_id").distinct(), "b_id", "left_anti")
     return left.unionByName(alone.select(F.lit(None).cast(dict(a.dtypes)["id"]).alias("a_id"), "b_id", F.lit("SOLO_B").alias("estado"), F.lit(None).cast("double").alias("score")))
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matching, packed, text
+from . import matching, packed, tables, text
 
-_MODULES = (matching, packed, text)
+_MODULES = (matching, packed, tables, text)
 FLAGSHIP = matching.mentions_by_rule
 
 
