@@ -26,7 +26,7 @@ def integer(c: Column | str) -> Column:
 
 def id_list(c: Column | str) -> Column:
     """Distinct identifiers of a cell, split at ``|``, ``,`` and ``;``, in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(_col(c), r"[|,;]"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(_col(c), r"[|,;]"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def header(c: Column | str) -> Column:
