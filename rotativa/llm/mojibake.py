@@ -98,7 +98,7 @@ def _entities(g: str) -> set[str]:
 
 
 _WORD_LOST = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])")
-_END_LOST = re.compile(r"(?<=[^\W\d_])\?(?=,? [a-záéíóúñü(]|,$|\.$|;)")
+_END_LOST = re.compile(r"(?<=[^\W\d_])\?(?=,? [a-záéíóúñü(\d]|,$|\.$|;)")
 _START_LOST = re.compile(r"(?:^|(?<=[\s(]))\?(?=[a-záéíóúñü]{2,}\b)")
 _URL = re.compile(r"(?:https?://|www\.)\S+|\S+\.(?:php|asp|html?|jsp|com|mx|org|example)\S*\?\S+|\S+\?\S*=\S*")
 _LATIN_WORD = re.compile(r"[A-Za-z]")
@@ -152,6 +152,16 @@ def _strong(text: str, i: int, g: str, c: str) -> bool:
     return g in "½¼¾" and right.isalpha() and not left.isalnum()
 
 
+_OWN = frozenset(LETTERS + MARKS)
+
+
+def _fits(text: str, i: int, g: str, c: str) -> bool:
+    """Whether, under a proven pair, a correct character stands for another one here."""
+    if g in MARKS and c.isalpha():
+        return text[i - 1 : i].isalpha() or text[i + 1 : i + 2].isalpha()
+    return _strong(text, i, g, c)
+
+
 @lru_cache(maxsize=1)
 def _suspects() -> tuple[re.Pattern[str], dict[str, list[tuple[str, str]]]]:
     _, single = tables()
@@ -233,8 +243,8 @@ def repair(text: str | None) -> str | None:
         foreign = [x for x in text if not x.isascii() and x not in LETTERS and x not in MARKS]
         pair = max(sorted(votes), key=lambda p: 2 * votes[p] + sum(x in tables()[1][p] for x in foreign))
         m = tables()[1][pair]
-        keep = set(LETTERS)
-        text = "".join(m.get(x, x) if x not in keep or x in m and not m[x].isalpha() else x for x in text)
+        # a correct Spanish character is replaced only where it can't be one
+        text = "".join(m[x] if x in m and (x not in _OWN or _fits(text, i, x, m[x])) else x for i, x in enumerate(text))
     return text
 
 
@@ -262,7 +272,7 @@ def find_garbled(notes: DataFrame, fields: Sequence[str] = FIELDS, key: str = "n
 
 def _suspect(c: Column) -> Column:
     """The value where it may be garbled, else null: keeps clean text out of Python."""
-    odd = "[^\\x00-\\x7f" + LETTERS + "¿¡«»°·©—–…" + "]|[\\p{L}]\\?[,.;]? ?[\\p{Ll}(]|\\?\\p{Ll}|&(?:[A-Za-z]+|#\\d+);|\\p{Ll}[ÁÉÍÓÚÜÑ¡¿«»©°]|\\p{L}\\?[.,;]"
+    odd = "[^\\x00-\\x7f" + LETTERS + "¿¡«»°·©—–…" + "]|[\\p{L}]\\?[,.;]? ?[\\p{Ll}(\\d]|\\?\\p{Ll}|&(?:[A-Za-z]+|#\\d+);|\\p{Ll}[ÁÉÍÓÚÜÑ¡¿«»©°]|\\p{L}\\?[.,;]"
     return F.when(c.rlike(odd), c)
 
 
