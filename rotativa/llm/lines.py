@@ -31,7 +31,7 @@ FURN, HEAD, LINK, NAV, MENU1, AD, EMBED, RES, LABEL, TEXT, BLANK = (
 )
 
 _ACCENT = str.maketrans({c: f"{b}?" for c, b in zip("áéíóúüñ", "aeiouun")})
-_MARKS = re.compile(r"(?<=[a-z])\?(?=[a-z])|^\?(?=[a-z])|(?<=[a-z]) ?\?(?= [a-z]|$)")
+_MARKS = re.compile(r"(?<=\d)\?(?= ?c\b)| \?(?= )|(?<=[a-z])\?(?=[a-z])|^\?(?=[a-z])|(?<=[a-z]) ?\?(?= [a-z]|$)")
 _SPACE = re.compile(r"\s+")
 #: Wording is decided by the beginning of a line; the rest only by its length.
 KEY_CHARS = 240
@@ -172,7 +172,7 @@ _RES = _Words(
     # filler
     r"(?:lorem|aquí va|escriba aquí|inserte aquí|insertar) ", r"contenido de relleno", r"texto de (?:prueba|ejemplo|relleno)",
     r"este es un (?:párrafo|texto) de (?:ejemplo|prueba)", r"título de la (?:nota|noticia)$", r"bienvenido al gestor", r"\(falta texto\)",
-    r"asdf", r"x{3,}(?: x{3,})*$", r"(?:null|undefined|nan)(?: (?:de )?(?:null|undefined|nan))+", r"sin título$", r"hola,? mundo",
+    r"asdf", r"(?:null|undefined|nan)(?: (?:de )?(?:null|undefined|nan))+", r"sin título$", r"hola,? mundo",
     r"(?:pendiente de redactar|texto pendiente|por definir|cargando)(?:\W*$| .{0,30}$)",
     # error pages
     r"(?:4\d\d|5\d\d)(?: .{1,40})?$", r"(?:error|http) ?\d{3}\b", r"página no (?:encontrada|disponible|existe)", r"lo sentimos, (?:el contenido|la página|no)",
@@ -209,11 +209,16 @@ _LATIN = frozenset(
 _ASCII_WORD = re.compile(r"[a-z]+")
 
 
+_CROSSES = re.compile(r"x{3,}(?: x{3,})*\W*")
+
+
 def residue(line: str, k: str) -> bool:
     """Whether a line is template residue, filler, an error message or a script notice."""
     word = _FIRST.match(k)[0]
     if _RES.match(k, word) and len(line) < 200:
         return True
+    if k[:3] == "xxx" and _CROSSES.fullmatch(k):
+        return True
     if _PLACE_HINT.search(line) and not _CODE.search(line):
         places = _PLACE.findall(line)
         if len(places) > 1 or places and len(places[0]) >= PLACE_SHARE * len(line.strip()):

@@ -25,6 +25,9 @@ ARTICLE_CHARS = 60
 #: Lone links that may follow the residue of a page without being an article: how many, how long.
 LINKS, LINK_CHARS = 2, 170
 
+#: Printed values of nothing; a leftover in an article, residue where there is no other line.
+VOIDS = frozenset(("undefined", "null", "nan", "[object object]"))
+
 
 def is_non_article(text: str | None, classes: list[str] | None = None) -> bool:
     """Whether a page text holds residue in place of an article.
@@ -33,7 +36,7 @@ def is_non_article(text: str | None, classes: list[str] | None = None) -> bool:
     """
     if not text or text.isspace():
         return False
-    before = after = found = links = longest = 0
+    before = after = found = links = longest = voids = 0
     parts = text.split("\n")
     for i, line in enumerate(parts):
         c = classes[i] if classes is not None else L.classify(line)
@@ -41,6 +44,10 @@ def is_non_article(text: str | None, classes: list[str] | None = None) -> bool:
             break  # what follows is a list of other notes
         if c == L.RES:
             found += 1
+        elif c == L.EMBED:
+            voids += L.key(line) in VOIDS
+        elif c == L.LABEL:
+            voids = -len(parts)
         elif c == L.TEXT:
             n = len(line.strip())
             longest = max(longest, n)
@@ -52,7 +59,7 @@ def is_non_article(text: str | None, classes: list[str] | None = None) -> bool:
             if before >= ARTICLE_CHARS and longest > LINK_CHARS:
                 return False
     if not found:
-        return False
+        return voids > 0 and not before
     if before + after < ARTICLE_CHARS:
         return True
     return before < ARTICLE_CHARS and links <= LINKS and longest <= LINK_CHARS
