@@ -97,9 +97,9 @@ def _entities(g: str) -> set[str]:
     return {full, bare, soft, num} - {g}
 
 
-_WORD_LOST = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])")
+_WORD_LOST = re.compile(r"(?<=[^\W\d_])\?{1,2}(?=[^\W\d_])")
 _END_LOST = re.compile(r"(?<=[^\W\d_])\?(?=,? [a-záéíóúñü(\d]|,$|\.$|;)")
-_START_LOST = re.compile(r"(?:^|(?<=[\s(]))\?(?=[a-záéíóúñü]{2,}\b)")
+_START_LOST = re.compile(r"(?:^|(?<=[\s(]))\?(?=[^\W\d_])", re.M)
 _URL = re.compile(r"(?:https?://|www\.)\S+|\S+\.(?:php|asp|html?|jsp|com|mx|org|example)\S*\?\S+|\S+\?\S*=\S*")
 _LATIN_WORD = re.compile(r"[A-Za-z]")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
@@ -119,7 +119,8 @@ def lost_letters(text: str) -> bool:
         before = t[: m.start()]
         if before.rfind("¿") <= max(before.rfind("?"), before.rfind("\n")) and "?" not in before[max(before.rfind("."), before.rfind("\n"), 0) :]:
             return True
-    return bool(_START_LOST.search(t)) and "¿" not in t
+    # Spanish has no question mark before a word
+    return bool(_START_LOST.search(t))
 
 
 def _strong(text: str, i: int, g: str, c: str) -> bool:
@@ -272,7 +273,7 @@ def find_garbled(notes: DataFrame, fields: Sequence[str] = FIELDS, key: str = "n
 
 def _suspect(c: Column) -> Column:
     """The value where it may be garbled, else null: keeps clean text out of Python."""
-    odd = "[^\\x00-\\x7f" + LETTERS + "¿¡«»°·©—–…" + "]|[\\p{L}]\\?[,.;]? ?[\\p{Ll}(\\d]|\\?\\p{Ll}|&(?:[A-Za-z]+|#\\d+);|\\p{Ll}[ÁÉÍÓÚÜÑ¡¿«»©°]|\\p{L}\\?[.,;]"
+    odd = "[^\\x00-\\x7f" + LETTERS + "¿¡«»°·©—–…" + "]|[\\p{L}]\\?[,.;]? ?[\\p{Ll}(\\d]|\\?\\p{L}|\\p{L}\\?\\?|&(?:[A-Za-z]+|#\\d+);|\\p{Ll}[ÁÉÍÓÚÜÑ¡¿«»©°]|\\p{L}\\?[.,;]"
     return F.when(c.rlike(odd), c)
 
 
