@@ -130,6 +130,8 @@ def _strong(text: str, i: int, g: str, c: str) -> bool:
     if _CYRILLIC.match(g):
         return bool(_LATIN_WORD.match(left) or _LATIN_WORD.match(right))
     if c.isalpha() and c not in "ºª":
+        if g == "Ð":
+            return True  # no letter of the languages around
         if g == "ß":
             return left.isalpha() and left.lower() not in "aeiouáéíóúäöü"
         if g.isalpha():
