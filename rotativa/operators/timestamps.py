@@ -14,7 +14,7 @@ months of the years covered.
 
 from __future__ import annotations
 
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, datetime
 from functools import lru_cache
 from zoneinfo import ZoneInfo, available_timezones
 
