@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import url
 from ..functions.text import content_key, first_filled, fold
-from ..operators import compare, keys
+from ..operators import compare, graphs, keys
 from ..sources.tables import table
 from .text import _CANON, _HOST, _PATH, _ascii, _fold, _words, ascii_key
 
@@ -265,6 +265,12 @@ def republication_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return n.join(many, "cluster_id").select("noticia_id", "cluster_id", "tamano").distinct()
 
 
+def note_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Notes that are linked by a canonical address or a title, over any number of links, by their least id."""
+    n = _n(spark, folder, "noticia_id", "url_canonica", "titulo").select("noticia_id", "url_canonica", ascii_key("titulo").alias("titulo"))
+    return graphs.same_entity(n, "noticia_id", ["url_canonica", "titulo"])
+
+
 def append_plan(spark: SparkSession, folder: str) -> DataFrame:
     """What becomes of late mentions appended to the earlier ones, by plan."""
     m = table(spark, folder, "menciones").select("mencion_id", "keyword_id", "created_at")
@@ -319,7 +325,7 @@ QUERIES = {
     for f in (
         fuzzy_compare, compare_metrics, editorial_clusters, exclusive_match, host_sources, suffix_sources, url_variant_lookup, route_fanout, route_integrity, day_client_rollup,
         duplicate_surplus, extraction_quality, clone_bodies, score_cohorts, threshold_sweep, label_resolution, flood_gate, log_evidence, ageing_debt, source_master, first_wins,
-        fair_queue, round_robin, top_scores, next_page, stratified_sample, shard_of_source, window_union, stale_keys, shared_keywords, republication_clusters, append_plan,
+        fair_queue, round_robin, top_scores, next_page, stratified_sample, shard_of_source, window_union, stale_keys, shared_keywords, republication_clusters, note_entities, append_plan,
         upsert_latest, insert_ignore, mark_processed, catalogue_diff, xml_notes, event_props,
     )
 }
@@ -383,6 +389,9 @@ SQL = {
     "shared_keywords": "SELECT keyword_id FROM menciones WHERE keyword_id IS NOT NULL INTERSECT SELECT keyword_id FROM mention_routes",
     "republication_clusters": f"""WITH n AS (SELECT DISTINCT noticia_id, {_words("'' || concat_ws(' ', titulo, resumen)")} AS w FROM noticias), k AS (SELECT noticia_id, sha256(w) AS cluster_id FROM n WHERE length(w) > 0)
   SELECT DISTINCT noticia_id, cluster_id, tamano FROM k JOIN (SELECT cluster_id, count(DISTINCT noticia_id) AS tamano FROM k GROUP BY 1 HAVING count(DISTINCT noticia_id) > 1) USING (cluster_id)""",
+    "note_entities": f"""WITH RECURSIVE n AS (SELECT DISTINCT noticia_id AS id, nullif(trim(url_canonica), '') AS u, nullif({_ascii('titulo')}, '') AS t FROM noticias),
+  e AS (SELECT DISTINCT a.id AS x, b.id AS y FROM n a JOIN n b ON a.id = b.id OR a.u = b.u OR a.t = b.t), r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+  SELECT x AS noticia_id, min(y) AS entidad FROM r GROUP BY 1""",
     "append_plan": f"""SELECT plan, count(*) AS filas FROM (SELECT CASE WHEN mencion_id IN (SELECT mencion_id FROM menciones WHERE created_at < TIMESTAMP '{CUT}') THEN 'present' WHEN row_number() OVER (PARTITION BY mencion_id ORDER BY created_at) > 1 THEN 'repeated' ELSE 'append' END AS plan
   FROM menciones WHERE created_at >= TIMESTAMP '{CUT}') GROUP BY 1""",
     "upsert_latest": "SELECT prioridad, activa, count(*) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY keyword_id ORDER BY updated_at DESC NULLS LAST, prioridad DESC NULLS LAST) AS r FROM keywords) WHERE r = 1 GROUP BY 1, 2",
