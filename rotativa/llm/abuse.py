@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 SAMPLE, TELLING, LABELLED = 15_000, 6_000, 20_000
 #: Score from which a document counts as a case.
 THRESHOLD = 0.5
-#: Probability, by its undisguised words, from which a passage is read again with disguises undone.
-CHANCE = 0.12
 #: A token is used from this many training passages on; no token speaks against abuse more than this.
 LEAST, AGAINST = 1, -2.0
 
@@ -67,6 +65,11 @@ def undisguised(t: str) -> str:
     return _LONG.sub(r"\1", t)
 
 
+def disguises(t: str) -> bool:
+    """Whether a plain text may hold a disguised spelling; where not, ``undisguised`` changes nothing."""
+    return "*" in t or bool(_MIX_HINT.search(t) or _LONG.search(t) or _SPELT_HINT.search(t))
+
+
 def normal(text: str) -> str:
     """Lower case without accents, with disguised spellings undone."""
     return undisguised(plain(text))
@@ -261,7 +264,6 @@ class Model:
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.chance = float(np.log(CHANCE / (1 - CHANCE))) - bias
         self._one = {t: w for t, w in weights.items() if " " not in t}
         self._two: dict[str, dict[str, float]] = {}
         for t, w in weights.items():
@@ -286,23 +288,17 @@ class Model:
         return z / (2 * len(words) - 1) ** 0.5
 
     def passage(self, sentence: str) -> float:
-        """Probability that a passage is abusive."""
-        return self._probability(max(map(self._sum, passages(sentence)), default=-30.0))
+        """Probability that a passage is abusive; as ``document``."""
+        return self.document(sentence)
 
     def document(self, text: str | None) -> float:
-        """Score of a text: that of its worst passage; 0 without any.
-
-        Disguised spellings are undone where the other words of a passage give it a chance.
-        """
+        """Score of a text: that of its worst passage, as it stands or with disguised spellings undone; 0 without any."""
         found = _plain_passages(text)
         if not found:
             return 0.0
-        best = -30.0
-        for p in found:
-            z = self._sum(p)
-            if z > self.chance:
-                z = self._sum(undisguised(p))
-            best = max(best, z)
+        best = max(map(self._sum, found))
+        if disguises("\n".join(found)):
+            best = max(best, *(self._sum(undisguised(p)) for p in found if disguises(p)))
         return self._probability(best)
 
 

@@ -57,3 +57,13 @@ def test_frame(spark, model):
     assert rate == {"a": (3, 1), "b": (1, 0), None: (1, 0)}
     empty = A.fit(df.where("false"), None)
     assert empty.document("hola") < 0.5 and A.score(df.where("false"), model).count() == 0
+
+
+def test_disguise_among_harmless_words():
+    m = A.Model({"pendejo": 20.0, "alcalde": -2.0, "comision": -2.0}, -2.0)
+    for t in ("p.e.n.d.e.j.o", "p3nd3j0", "pen*dejo", "pendejooo"):
+        text = f"La reunión siguió.\nEl alcalde de la comisión es un {t}"
+        assert m.document(text) > 0.5 and m.document(text) == max(m.document("La reunión siguió."), m.passage(text.split("\n")[1]))
+    assert not A.disguises("el ano 2026 cerro con 14 casos.") and A.disguises("1d10t4")
+    # what stands undisguised isn't lost by undoing disguises
+    assert A.Model({"xxx": 9.0}, -2.0).document("videos xxx") > 0.5
