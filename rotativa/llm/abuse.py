@@ -1,12 +1,12 @@
 """Abusive, hateful or sexual content (problem 10).
 
-Passages of a bounded sample are put to many voters - lexicons and patterns for
+All passages, each once, are put to many voters - lexicons and patterns for
 insults, threats, degradation of groups and sexual content, and for the reports,
 lessons and harmless uses that share their words.  A generative label model
 estimates by EM how accurate each voter is and which of them repeat each other,
 and turns their votes into the probability of a passage being abusive.  On these
 and on the labelled samples a linear classifier of words and word pairs is
-trained; it scores every passage of every document, and a document by its worst.
+trained in shards, whose weights are averaged; it scores every passage of every document, and a document by its worst.
 """
 
 from __future__ import annotations
@@ -18,11 +18,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: For training at most so many lines are drawn of all, so many of those with a telling word, and so many labelled samples.
-SAMPLE, TELLING, LABELLED = 15_000, 6_000, 20_000
+from ..sources.shared import keep
+
+#: At most so many labelled samples are used.
+LABELLED = 20_000
+#: Distinct passages of one shard, about; every passage is in one.
+SHARD = 60_000
 #: Score from which a document counts as a case.
 THRESHOLD = 0.5
 #: A token is used from this many training passages on; no token speaks against abuse more than this.
@@ -111,13 +116,6 @@ _INSULT = r"(?:pendej|estupid|idiota|imbecil|cretin|tarad|inutil|infeliz|payas|c
 _PEOPLE = r"[a-z]{4,}(?:ecos?|ecas?|inos?|inas?|enos?|enas?|ense?s?|anos?|anas?|amos?|amas?)"
 _VOICE = r"\b(?:eres|te|tu|tus|ti|contigo|vete|callate|largate|mirate|ponte|ojala|haznos|you|your|voce|seu|sua|quejes|vives|sales)\b"
 
-_TELLING = (
-    "pendejo pendejos estupido estupidos idiota idiotas imbecil cretino cretinos tarado inutil infeliz payaso payasos cabron plaga praga vermin scum ratas raza largate "
-    "callate shut boca porno xxx sexo sexual tetas desnuda desnudas desnudos nudes escorts naked nuas ojala mereces merece paliza garrote patadas mueran larguen golpes "
-    "inferiores nobody everybody hates decent teeth fuera malditos limpiamos dialoga contrate ningun parir gente espejo respirar favor llorar espalda culpa abuelos "
-    "sabemos rompo piernas ropa cama cuarto lamer lenceria parejas ardientes calientes intimas moron loser worthless pinche mierda odio insulto insultos muerte asesino"
-).split()
-
 VOTERS: tuple[tuple[str, int, re.Pattern[str]], ...] = tuple(
     (n, v, re.compile(p))
     for n, v, p in (
@@ -166,16 +164,32 @@ VOTERS: tuple[tuple[str, int, re.Pattern[str]], ...] = tuple(
 )
 
 
+#: Characters of which RE2 and ``re`` think alike.
+_ALIKE = re.compile(r"[\t\r -~«»¿¡]*")
+
+
 def votes(sentences: Sequence[str]) -> np.ndarray:
     """Votes on normal passages: one row per passage, one column per voter: 1 abusive, -1 not, 0 no opinion."""
     out = np.zeros((len(sentences), len(VOTERS)), np.int8)
-    for i, t in enumerate(sentences):
-        for j, (_, v, p) in enumerate(VOTERS):
-            if p.search(t):
-                out[i, j] = v
+    alike = [i for i, t in enumerate(sentences) if _ALIKE.fullmatch(t)]
+    column = pa.array([sentences[i] for i in alike], pa.string())
+    for j, (_, v, p) in enumerate(VOTERS):
+        out[alike, j] = np.where(pc.match_substring_regex(column, p.pattern).to_numpy(zero_copy_only=False), v, 0)
+    for i in sorted(set(range(len(sentences))).difference(alike)):
+        out[i] = [v if p.search(sentences[i]) else 0 for _, v, p in VOTERS]
     return out
 
 
+def _packed(v: np.ndarray) -> np.ndarray:
+    """One number per row of votes: the voters that fired."""
+    return (v != 0).astype(np.int64) @ (1 << np.arange(len(VOTERS), dtype=np.int64))
+
+
+def _unpacked(fired: Sequence[int]) -> np.ndarray:
+    on = np.array(fired, np.int64).reshape(-1, 1) >> np.arange(len(VOTERS)) & 1
+    return (on * [v for _, v, _ in VOTERS]).astype(np.int8)
+
+
 class LabelModel:
     """Accuracies and correlations of voters, by EM over their votes.
 
@@ -188,24 +202,26 @@ class LabelModel:
     def __init__(self, rounds: int = 25):
         self.rounds = rounds
 
-    def fit(self, v: np.ndarray, known: np.ndarray | None = None) -> LabelModel:
+    def fit(self, v: np.ndarray, known: np.ndarray | None = None, count: np.ndarray | None = None) -> LabelModel:
+        """Learn from rows of votes, each of which stands ``count`` times."""
         fired = (v != 0).astype(float)
-        side = np.sign(v.sum(0)) if len(v) else np.zeros(v.shape[1])
+        count = np.ones(len(v)) if count is None else count
+        side = np.sign(count @ v) if len(v) else np.zeros(v.shape[1])
         known = np.full(len(v), -1.0) if known is None else known
         fixed = known >= 0
         up, down = (v > 0).sum(1), (v < 0).sum(1)
         post = np.where(fixed, known, 1 / (1 + np.exp(-np.clip(4 * up - 3 * down - 2, -30, 30))))
         self.weight = np.ones(v.shape[1])
         for _ in range(self.rounds):
-            n1, n0 = post.sum() + 2, (1 - post).sum() + 2
-            p1 = (fired.T @ post + 0.1) / (n1 + 0.2)
-            p0 = (fired.T @ (1 - post) + 0.1) / (n0 + 0.2)
+            n1, n0 = count @ post + 2, count @ (1 - post) + 2
+            p1 = (fired.T @ (count * post) + 0.1) / (n1 + 0.2)
+            p0 = (fired.T @ (count * (1 - post)) + 0.1) / (n0 + 0.2)
             # a voter for abuse isn't taken to speak against it, nor the reverse
             p1, p0 = np.where(side >= 0, np.maximum(p1, p0), p1), np.where(side < 0, np.maximum(p0, p1), p0)
             on = np.log(p1 / p0)
             off = np.log((1 - p1) / (1 - p0)).clip(-0.5, 0.5) * 0.2
             resid = fired - post[:, None] * p1 - (1 - post[:, None]) * p0
-            c = resid.T @ resid
+            c = resid.T @ (count[:, None] * resid)
             d = np.sqrt(np.maximum(np.diag(c), 1e-9))
             corr = np.maximum(c / d[:, None] / d[None, :], 0)
             np.fill_diagonal(corr, 0)
@@ -234,8 +250,8 @@ def tokens(words: list[str]) -> list[str]:
     return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
 
 
-def train(sentences: Sequence[str], target: np.ndarray, importance: np.ndarray, rounds: int = 150, ridge: float = 0.02) -> tuple[dict[str, float], float]:
-    """Logistic regression on soft labels; (weight by token, bias)."""
+def train(sentences: Sequence[str], target: np.ndarray, importance: np.ndarray, rounds: int = 150, ridge: float = 0.02) -> tuple[dict[str, float], float, Counter[str]]:
+    """Logistic regression on soft labels; (weight by token, bias, passages by token)."""
     each = [tokens(words_of(s)) for s in sentences]
     often = Counter(t for ts in each for t in set(ts))
     vocab = {t: i for i, t in enumerate(sorted(t for t, c in often.items() if c >= LEAST))}
@@ -256,7 +272,7 @@ def train(sentences: Sequence[str], target: np.ndarray, importance: np.ndarray,
         gb2 += e.sum() ** 2
         w = np.maximum(w - 1.0 * g / np.sqrt(g2), AGAINST)
         b -= 0.3 * e.sum() / np.sqrt(gb2)
-    return {t: float(w[i]) for t, i in vocab.items() if abs(w[i]) > 1e-3}, float(b)
+    return {t: float(w[i]) for t, i in vocab.items()}, float(b), often
 
 
 class Model:
@@ -302,46 +318,85 @@ class Model:
         return self._probability(best)
 
 
-def fit(
-    docs: DataFrame, labelled: DataFrame | None, text: str = "text", sample_text: str = "texto", label: str = "etiqueta", none: str = "ninguna",
-    sample: int = SAMPLE, telling: int = TELLING,
-) -> Model:
-    """Train on a bounded sample, drawn by hash: at most ``sample`` lines of all,
-    ``telling`` of the lines with a word that voters look for, and the labelled rows."""
-    lines = docs.select(F.posexplode(F.split(F.col(f"`{text}`").cast("string"), "\n")).alias("p", "line")).where("trim(line) != ''")
-    words = F.split(F.translate(F.lower("line"), "áàâãéêíóôõúüñç,.;:!«»", "aaaaeeiooouunc       "), " ")
-    lines = lines.select("line", F.xxhash64("line", "p").alias("h"), F.exists(words, lambda w: w.isin(_TELLING)).alias("telling"))
-    n, m = lines.agg(F.count("*"), F.count_if("telling")).first()
-
-    def first(df: DataFrame, size: int, of: int) -> list[str]:
-        # a bound on the hash keeps what tasks send to the driver near the sample's size, whatever their number
-        bound = 2**63 - 1 if of <= 2 * size else int(2**64 * (1.5 * size / of)) - 2**63
-        return [r[0] for r in df.where(F.col("h") <= bound).orderBy("h", "line").limit(size).select(F.substring("line", 1, 2000)).collect()]
-
-    drawn = first(lines, sample, n) + first(lines.where("telling"), telling, m)
-    pool = [s for x in drawn for s in passages(x)]
+def fit(docs: DataFrame, labelled: DataFrame | None, text: str = "text", sample_text: str = "texto", label: str = "etiqueta", none: str = "ninguna") -> Model:
+    """Train on the distinct passages of all documents and on the labelled rows.
+
+    The driver gets the patterns of votes with their counts and the vocabulary.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {_DIGITS.sub("7", p) for t in b.column(0).to_pylist() for p in passages(t)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["p"])
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_packed(votes(b.column(0).to_pylist())), pa.int64())], names=["p", "fired"])
+
+    found = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(split, "p string").distinct()
+    found = keep(found.mapInArrow(vote, "p string, fired long"), "votes")
+    counts = {r[0]: r[1] for r in found.groupBy("fired").count().collect()}
     rows = [] if labelled is None else labelled.select(F.col(f"`{sample_text}`"), F.col(f"`{label}`")).where(f"`{sample_text}` IS NOT NULL AND `{label}` IS NOT NULL").orderBy(sample_text, label).limit(LABELLED).collect()
-    return fit_passages(pool, [(r[0], r[1] != none) for r in rows])
+    known = _known([(r[0], r[1] != none) for r in rows])
+    if not counts:
+        return fit_passages([], [(r[0], r[1] != none) for r in rows])
+    target, known_target = _targets(counts, known)
+    shards = -(-sum(counts.values()) // SHARD)
+
+    def shard(t: pa.Table) -> pa.Table:
+        both = sorted(zip(t["p"].to_pylist(), t["fired"].to_pylist()))
+        w, bias, often = _classifier([p for p, _ in both], np.array([target[f] for _, f in both]), known, known_target)
+        names = [*w, ""]
+        return pa.table({"t": names, "n": pa.array([*(often[x] for x in w), len(both)], pa.int64()), "w": pa.array([*w.values(), bias], pa.float64())})
+
+    # a token's weight is the mean over the shards that have it, by its passages there; the bias goes as the empty token
+    each = found.withColumn("s", F.pmod(F.xxhash64("p"), F.lit(shards))).groupBy("s").applyInArrow(shard, "t string, n long, w double")
+    mean = each.groupBy("t").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w")).where("t = '' OR abs(w) > 1e-3")
+    weights = {r[0]: r[1] for r in mean.collect()}
+    bias = weights.pop("")
+    return Model(weights, bias)
+
+
+def _known(rows: Sequence[tuple[str, bool]]) -> list[tuple[str, float]]:
+    """(passage, label) of labelled texts; of an abusive one the passage with most votes is labelled, the others are left open (-1)."""
+    out = []
+    for t, y in rows:
+        found = passages(t)
+        worst = int(votes(found).sum(1).argmax()) if y and len(found) > 1 else -1
+        out += [(p, float(y) if worst in (-1, i) else -1.0) for i, p in enumerate(found)]
+    return out
 
 
-def fit_passages(pool: Sequence[str], rows: Sequence[tuple[str, bool]]) -> Model:
-    """Label model over passages and labelled rows, then the classifier."""
-    unique = sorted({_DIGITS.sub("7", p) for p in pool})
-    known = [(p, y) for t, y in rows for p in passages(t)[:1]]
-    known_s = [t for t, _ in known]
-    known_y = np.array([float(y) for _, y in known])
-    everything = [*unique, *known_s]
-    if not everything:
-        return Model({}, -5.0)
-    label = np.concatenate([np.full(len(unique), -1.0), known_y])
-    model = LabelModel().fit(votes(everything), label)
+def _targets(counts: dict[int, int], known: Sequence[tuple[str, float]]) -> tuple[dict[int, float], np.ndarray]:
+    """The probability of every pattern of votes, and that of the known passages, by the label model over both."""
+    patterns = sorted(counts)
+    label = np.array([-1.0] * len(patterns) + [y for _, y in known])
+    v = np.concatenate([_unpacked(patterns), votes([p for p, _ in known])])
+    model = LabelModel().fit(v, label, np.array([counts[x] for x in patterns] + [1] * len(known), float))
     target = np.where(label >= 0, label, model.posterior)
+    return dict(zip(patterns, target[: len(patterns)].tolist())), target[len(patterns) :]
+
+
+def _classifier(unique: Sequence[str], target: np.ndarray, known: Sequence[tuple[str, float]], known_target: np.ndarray) -> tuple[dict[str, float], float, Counter[str]]:
+    target = np.concatenate([target, known_target])
+    label = np.array([-1.0] * len(unique) + [y for _, y in known])
     # passages on which the voters don't settle teach little
     sure = np.abs(target - 0.5) * 2
     weight = np.where(label >= 0, 1.0, sure**2)
     positive = (weight * target).sum()
     weight = weight * np.where(target > 0.5, max(1.0, (weight.sum() - positive) / max(positive, 1.0) / 2), 1.0)
-    return Model(*train(everything, target, weight))
+    return train([*unique, *(p for p, _ in known)], target, weight)
+
+
+def fit_passages(pool: Sequence[str], rows: Sequence[tuple[str, bool]]) -> Model:
+    """Label model over passages and labelled rows, then the classifier, in one place."""
+    unique = sorted({_DIGITS.sub("7", p) for p in pool})
+    known = _known(rows)
+    if not unique and not known:
+        return Model({}, -5.0)
+    fired = _packed(votes(unique)).tolist()
+    target, known_target = _targets(Counter(fired), known)
+    return Model(*_classifier(unique, np.array([target[f] for f in fired]), known, known_target)[:2])
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -67,3 +67,28 @@ def test_disguise_among_harmless_words():
     assert not A.disguises("el ano 2026 cerro con 14 casos.") and A.disguises("1d10t4")
     # what stands undisguised isn't lost by undoing disguises
     assert A.Model({"xxx": 9.0}, -2.0).document("videos xxx") > 0.5
+
+
+def test_every_passage_trains(spark, monkeypatch):
+    monkeypatch.setattr(A, "SHARD", 9_000, raising=False)
+    letters = "translate(lpad(conv(id, 10, 16), 5, '0'), '0123456789ABCDEF', 'bcdfghjklmnpqrst')"
+    docs = spark.range(24_000).selectExpr("id AS doc_id", f"concat('El informe cita a w', {letters}, IF(id % 800 = 0, '\\nEres un idiota, das asco v', '\\nLa obra sigue v'), {letters}) AS text")
+    m = A.fit(docs, None)
+    words = {w for r in docs.collect() for p in A.passages(r.text) for w in A.words_of(p)}
+    assert len(words) > 47_000 and words <= set(m.weights)
+    # the 800th stands with an insult, the 801st doesn't
+    assert m.weights["vbbfdb"] > m.weights["vbbfdc"]
+
+
+def test_votes_by_count():
+    texts = ["eres un idiota", "el informe del hospital", "ñandú ª del gobierno", "nada"]
+    v = A.votes(texts)
+    assert (v == [[x if p.search(t) else 0 for _, x, p in A.VOTERS] for t in texts]).all() and (A._unpacked(A._packed(v).tolist()) == v).all()
+    n = [3, 40, 7, 50]
+    a, b = A.LabelModel().fit(v, None, np.array(n, float)), A.LabelModel().fit(np.repeat(v, n, 0))
+    assert np.allclose(a.posterior, b.predict(v)) and np.allclose(a.on, b.on)
+
+
+def test_all_sentences_of_a_labelled_text():
+    assert A._known([("Hola a todos. Buen día.", False)]) == [("hola a todos.", 0.0), ("buen dia.", 0.0)]
+    assert A._known([("Hola a todos. Eres un idiota.", True)]) == [("hola a todos.", -1.0), ("eres un idiota.", 1.0)]
