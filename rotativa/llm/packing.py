@@ -4,10 +4,14 @@ A configuration is a multiset of lengths that fits into one container.  The
 linear program that covers the histogram of item lengths with as few containers
 as possible has a column for every configuration; multiplicative weights solve
 it without listing them: lengths have prices, a knapsack by dynamic programming
-finds the configuration worth most, it is used, and the prices of the lengths it
-covers fall.  The fractional solution is rounded down, to full containers, and the
-rest is packed by best fit on the histogram; best fit alone is kept where it needs
-fewer containers.
+finds the configurations worth most, they are used a little, and the prices of
+the lengths they cover fall.  Every vector of prices bounds the number of
+containers from below; the best bound's prices are kept.
+
+Rounding uses the same pricing: a container takes the longest item that is left,
+which has to go somewhere, and the knapsack under those prices fills the rest of
+it; the configuration is used as often as its lengths last.  So every container
+is a configuration found by the knapsack, and none is left to a greedy rule.
 
 The histogram has at most one entry per length up to the capacity, so the plan is
 made on the driver whatever the number of items.  Items take their places by
@@ -18,6 +22,7 @@ offsets, so that no length has to fit in one task.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +32,52 @@ from pyspark.sql import functions as F
 from ..sources.shared import keep
 from .tokens import VOCABULARY, token_counts
 
-#: Length classes the linear program distinguishes at most, and its rounds.
-CLASSES, ROUNDS = 384, 120
-#: A configuration is used while its containers stay this full; what it then leaves is packed by best fit.
-TIGHT = 0.998
+#: Size classes the program is solved over; the lengths one knapsack of the rounding chooses from.
+CLASSES = 256
+#: Rounds of the weights, how far a round moves them, and how near the best a configuration must be to be used in it.
+ROUNDS, STEP, NEAR = 200, 0.02, 0.01
+#: A container is filled longest first until so many items of mean length fit, and by the knapsack from there.
+LAST = 4
 
 Plan = list[tuple[dict[int, int], int]]
 
 
-def _classes(lengths: np.ndarray, counts: np.ndarray, capacity: int, limit: int) -> list[np.ndarray]:
+class Knapsack:
+    """Best contents of every room up to ``room``, sizes used at most ``most`` times.
+
+    Each size enters in bundles of 1, 2, 4, ... pieces, every bundle one
+    vectorised step over all rooms.
+    """
+
+    def __init__(self, size: np.ndarray, price: np.ndarray, most: np.ndarray, room: int):
+        self.value = np.zeros(room + 1)
+        self._bundles: list[tuple[int, int, int, np.ndarray]] = []
+        for i in np.argsort(-price / size, kind="stable"):
+            left, b = int(min(most[i], room // size[i])), 1
+            while left > 0:
+                n = min(b, left)
+                w = n * int(size[i])
+                other = self.value[: room + 1 - w] + n * price[i]
+                better = other > self.value[w:] + 1e-12
+                if better.any():
+                    step = np.zeros(room + 1, bool)
+                    step[w:] = better
+                    self.value[w:] = np.where(better, other, self.value[w:])
+                    self._bundles.append((int(i), n, w, step))
+                left -= n
+                b *= 2
+
+    def content(self, room: int) -> dict[int, int]:
+        """How often each size stands in the best content of a room."""
+        out: dict[int, int] = {}
+        for i, n, w, step in reversed(self._bundles):
+            if step[room]:
+                out[i] = out.get(i, 0) + n
+                room -= w
+        return out
+
+
+def _classes(lengths: np.ndarray, counts: np.ndarray, limit: int) -> list[np.ndarray]:
     """Neighbouring lengths joined into classes of about equal volume."""
     if len(lengths) <= limit:
         return [np.array([i]) for i in range(len(lengths))]
@@ -44,66 +86,71 @@ def _classes(lengths: np.ndarray, counts: np.ndarray, capacity: int, limit: int)
     return [np.flatnonzero(at == k) for k in np.unique(at)]
 
 
-def best_configuration(size: np.ndarray, price: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each size stands in the configuration worth most: a bounded knapsack.
+@dataclass(frozen=True)
+class Solution:
+    """A fractional covering: its configurations and their use, the price of each size, and the bound these prove."""
 
-    Each size enters in bundles of 1, 2, 4, ... pieces, every bundle one
-    vectorised step over all capacities.
+    configurations: dict[tuple[tuple[int, int], ...], float]
+    price: np.ndarray
+    bound: float
+
+    @property
+    def containers(self) -> float:
+        return sum(self.configurations.values())
+
+
+def solve(size: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> Solution:
+    """The covering program by multiplicative weights.
+
+    One knapsack prices, for every size, the best configuration with that size
+    in it; those near the best share the round.  The configurations are scaled
+    until every size is covered, so they are feasible; ``bound`` is below every
+    covering by weak duality.
     """
-    value = np.zeros(capacity + 1)
-    bundles: list[tuple[int, int, int]] = []
-    took: list[np.ndarray] = []
-    for i in np.argsort(-price / size):
-        left, b = int(min(most[i], capacity // size[i])), 1
-        while left > 0:
-            n = min(b, left)
-            w = n * int(size[i])
-            if w > capacity:
-                break
-            better = value[: capacity + 1 - w] + n * price[i] > value[w:] + 1e-15
-            step = np.zeros(capacity + 1, bool)
-            step[w:] = better
-            value[w:] = np.where(better, value[: capacity + 1 - w] + n * price[i], value[w:])
-            bundles.append((int(i), n, w))
-            took.append(step)
-            left -= n
-            b *= 2
-    out = np.zeros(len(size), np.int64)
-    c = int(value.argmax())
-    for (i, n, w), step in zip(reversed(bundles), reversed(took)):
-        if step[c]:
-            out[i] += n
-            c -= w
-    return out
-
-
-def solve(size: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Configurations and how often each is used: the covering program by multiplicative weights."""
+    weight = np.log(size / capacity)
+    used: dict[tuple[tuple[int, int], ...], float] = {}
     covered = np.zeros(len(size))
-    used: dict[tuple[int, ...], float] = {}
-    share = demand / demand.sum()
-    eta = 8.0
+    bound, price = 0.0, size / capacity
     for _ in range(rounds):
-        # the price of a size falls with how far its demand is covered beyond the least covered
-        behind = covered / demand
-        price = share / demand * np.exp(-eta * (behind - behind.min()))
-        c = best_configuration(size, price / price.max(), demand, capacity)
-        if not c.any():
+        p = np.exp(weight - weight.max())
+        sack = Knapsack(size, p, demand, capacity)
+        worth = p + sack.value[capacity - size]
+        if (value := float((demand * p).sum() / worth.max())) > bound:
+            bound, price = value, p / worth.max()
+        found = set()
+        for i in np.flatnonzero(worth >= worth.max() * (1 - NEAR)):
+            c = sack.content(int(capacity - size[i]))
+            c[int(i)] = c.get(int(i), 0) + 1
+            if c[int(i)] <= demand[i]:
+                found.add(tuple(sorted(c.items())))
+        if not found:
             break
-        hit = c > 0
-        step = float((demand[hit] / c[hit]).min()) / (rounds / 12)
-        covered += step * c
-        key = tuple(c.tolist())
-        used[key] = used.get(key, 0.0) + step
-    # scaled so that nothing is covered more than it is asked for
-    configs = np.array(list(used), np.int64).reshape(-1, len(size))
-    times = np.array(list(used.values()))
-    over = (configs * times[:, None]).sum(0) / demand
-    times = times / max(over.max(), 1e-12)
-    return configs, times
-
-
-def make_plan(histogram: dict[int, int], capacity: int, classes: int = CLASSES, rounds: int = ROUNDS) -> Plan:
+        got = np.zeros(len(size))
+        for c in sorted(found):
+            used[c] = used.get(c, 0.0) + 1 / len(found)
+            for i, n in c:
+                got[i] += n / len(found)
+        covered += got
+        got /= demand
+        weight -= step * got / got.max()
+    for i in np.flatnonzero(covered == 0):
+        # a size in no configuration yet stands alone
+        n = int(min(demand[i], capacity // size[i]))
+        used[((int(i), n),)] = covered[i] = float(demand[i]) / n
+        covered[i] *= n
+    scale = float((demand / covered).max())
+    return Solution({c: x * scale for c, x in used.items()}, price, bound)
+
+
+def _program(lengths: np.ndarray, counts: np.ndarray, capacity: int, classes: int) -> tuple[Solution, np.ndarray]:
+    """The program over classes as long as their longest, and the price of every length."""
+    groups = _classes(lengths, counts, classes)
+    size = np.array([lengths[g].max() for g in groups])
+    s = solve(size, np.array([counts[g].sum() for g in groups], float), capacity)
+    return s, lengths * np.interp(lengths, size, s.price / size)
+
+
+def make_plan(histogram: dict[int, int], capacity: int, classes: int = CLASSES) -> Plan:
     """Containers for a histogram of lengths: (pieces by length, how many such containers).
 
     Lengths are between 1 and the capacity.  Every item gets exactly one place.
@@ -112,80 +159,49 @@ def make_plan(histogram: dict[int, int], capacity: int, classes: int = CLASSES,
     if not len(lengths):
         return []
     left = np.array([histogram[int(n)] for n in lengths], np.int64)
+    _, price = _program(lengths, left, capacity, classes)
+    # of contents worth about the same the one with longer pieces is better: short ones are easier to place later
+    price = price * np.sqrt(lengths / capacity)
     plan: Plan = []
-    # a knapsack over a larger capacity costs more, and needs fewer classes
-    groups = _classes(lengths, left, capacity, classes if capacity <= 1024 else max(1, classes // 3))
-    # a class is as long as its longest: what it is given always fits
-    size = np.array([lengths[g].max() for g in groups])
-    demand = np.array([left[g].sum() for g in groups], float)
-    configs, times = solve(size, demand, capacity, rounds)
-    whole = left.copy()
-    for c, t in zip(configs, times):
-        if int(t):
-            plan += _place(c, int(t), groups, lengths, left, capacity)
-    plan += _best_fit(lengths, left, capacity)
-    # rounding can lose what the program gained; best fit alone is the other feasible plan
-    plain = _best_fit(lengths, whole, capacity)
-    return min(plan, plain, key=lambda p: sum(n for _, n in p))
-
-
-def _place(config: np.ndarray, n: int, groups: list[np.ndarray], lengths: np.ndarray, left: np.ndarray, capacity: int) -> Plan:
-    """n containers of a configuration of classes, with lengths of the classes, longest first, in them.
-
-    Runs of equal containers are made together, so this is fast for any n.
-    """
-    out: Plan = []
-    while n > 0:
-        pick: dict[int, int] = {}
-        for k in np.flatnonzero(config):
-            need = int(config[k])
-            for i in groups[k][::-1]:
-                if need and left[i] > 0:
-                    m = int(min(need, left[i]))
-                    pick[int(i)] = pick.get(int(i), 0) + m
-                    need -= m
-        if not pick:
-            return out
-        room = capacity - sum(int(lengths[i]) * m for i, m in pick.items())
-        # what the classes leave over is filled with the longest pieces that still fit
-        while room > 0:
-            i = int(np.searchsorted(lengths, room, "right")) - 1
-            while i >= 0 and left[i] <= pick.get(i, 0):
-                i -= 1
-            if i < 0:
-                break
-            m = int(min(room // lengths[i], left[i] - pick.get(i, 0)))
-            pick[i] = pick.get(i, 0) + m
-            room -= m * int(lengths[i])
-        if room > (1 - TIGHT) * capacity:
-            return out
-        times = int(min(n, min(left[i] // m for i, m in pick.items())))
-        for i, m in pick.items():
-            left[i] -= m * times
-        out.append(({int(lengths[i]): m for i, m in pick.items()}, times))
-        n -= times
-    return out
-
-
-def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> Plan:
-    """The rest: each container takes the longest piece, then always the longest that fits."""
-    out: Plan = []
-    while left.any():
-        room, pick = capacity, {}
-        while room > 0:
-            i = int(np.searchsorted(lengths, room, "right")) - 1
-            while i >= 0 and left[i] <= pick.get(i, 0):
-                i -= 1
-            if i < 0:
+    count, total = int(left.sum()), int((left * lengths).sum())
+    while count:
+        live = np.flatnonzero(left)
+        pick = {int(live[-1]): 1}
+        room = capacity - int(lengths[live[-1]])
+        while room > LAST * total / count:
+            i = next((int(x) for x in live[: np.searchsorted(lengths[live], room, "right")][::-1] if left[x] > pick.get(int(x), 0)), None)
+            if i is None:
                 break
-            m = int(min(room // lengths[i], left[i] - pick.get(i, 0)))
-            pick[i] = pick.get(i, 0) + m
-            room -= m * int(lengths[i])
-        times = int(min(left[i] // m for i, m in pick.items()))
-        for i, m in pick.items():
-            left[i] -= m * times
-        out.append(({int(lengths[i]): m for i, m in pick.items()}, times))
-    return out
+            pick[i] = pick.get(i, 0) + 1
+            room -= int(lengths[i])
+        live = live[: np.searchsorted(lengths[live], room, "right")]
+        free = left[live] - np.array([pick.get(int(i), 0) for i in live], np.int64)
+        live, free = live[free > 0], free[free > 0]
+        if len(live) > classes:
+            # of neighbouring lengths the one with most items left
+            at = np.arange(len(live)) * classes // len(live)
+            order = np.lexsort((free, at))
+            chosen = np.sort(order[np.append(np.flatnonzero(np.diff(at[order])), len(live) - 1)])
+            live, free = live[chosen], free[chosen]
+        if len(live):
+            for j, n in Knapsack(lengths[live], price[live], free, room).content(room).items():
+                pick[int(live[j])] = pick.get(int(live[j]), 0) + n
+        times = int(min(left[i] // n for i, n in pick.items()))
+        for i, n in pick.items():
+            left[i] -= n * times
+            count -= n * times
+            total -= n * times * int(lengths[i])
+        plan.append(({int(lengths[i]): n for i, n in pick.items()}, times))
+    return plan
+
+
+def lower_bound(histogram: dict[int, int], capacity: int) -> float:
+    """Containers any packing needs: by the program's prices over exact lengths, and by the items longer than half."""
+    lengths = np.array(sorted(n for n, c in histogram.items() if c > 0), np.int64)
+    if not len(lengths):
+        return 0.0
+    counts = np.array([histogram[int(n)] for n in lengths], np.int64)
+    return max(solve(lengths, counts.astype(float), capacity).bound, float(counts[2 * lengths > capacity].sum()))
 
 
 class _Places:
@@ -230,18 +246,19 @@ def pack(docs: DataFrame, sizes: Sequence[tuple[str, int]], key: str = "doc_id",
     counted = token_counts(docs, key, text, vocabulary=vocabulary).where(F.col(key).isNotNull() & (F.col("tokens") > 0)).select(F.col(key).alias("k"), "tokens")
 
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], int] = {}
+        seen = [np.zeros(c + 1, np.int64) for _, c in sizes]
         whole = [0] * len(sizes)
         for b in batches:
             n = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             part = b.column(2)
             for j, (_, c) in enumerate(sizes):
                 full, item = np.where(n > c, n // c, 0), np.where(n > c, n % c, n)
-                local = np.zeros(len(n), np.int64)
-                for i, x in enumerate(item.tolist()):
-                    if x:
-                        local[i] = seen.get((j, x), 0)
-                        seen[j, x] = local[i] + 1
+                # ranks of equal lengths: a stable sort, counted from the start of each run and on from the batch before
+                order = np.argsort(item, kind="stable")
+                values, start, count = np.unique(item[order], return_index=True, return_counts=True)
+                local = np.empty(len(n), np.int64)
+                local[order] = np.arange(len(n)) - np.repeat(start, count) + np.repeat(seen[j][values], count)
+                seen[j][values] += count
                 before = np.cumsum(full) - full + whole[j]
                 whole[j] += int(full.sum())
                 yield pa.RecordBatch.from_arrays(

@@ -27,7 +27,10 @@ def test_knapsack_equals_brute_force():
         price = np.array([rnd.random() for _ in size])
         most = np.array([rnd.randint(0, 4) for _ in size])
         cap = rnd.randint(5, 25)
-        c = P.best_configuration(size, price, most, cap)
+        sack = P.Knapsack(size, price, most, cap)
+        c = np.zeros(4, int)
+        for i, n in sack.content(cap).items():
+            c[i] = n
         assert (c <= most).all() and (c * size).sum() <= cap
         best = max((a * price[0] + b * price[1] + d * price[2] + e * price[3]) for a in range(most[0] + 1) for b in range(most[1] + 1) for d in range(most[2] + 1) for e in range(most[3] + 1) if a * size[0] + b * size[1] + d * size[2] + e * size[3] <= cap)
         assert abs((c * price).sum() - best) < 1e-9
@@ -43,6 +46,39 @@ def test_plan_is_complete_and_tight(capacity):
     assert P.make_plan({}, capacity) == [] and check_plan({capacity: 7}, capacity, P.make_plan({capacity: 7}, capacity)) == 7
 
 
+def best_fit(hist, capacity):
+    """Containers of the plain rule: the longest item, then always the longest that fits."""
+    left, used = Counter(hist), 0
+    while left := Counter({k: v for k, v in left.items() if v}):
+        room, pick = capacity, Counter()
+        for k in sorted(left, reverse=True):
+            n = min(left[k], room // k)
+            pick[k], room = n, room - n * k
+        times = min(left[k] // n for k, n in pick.items() if n)
+        used += times
+        left.subtract({k: n * times for k, n in pick.items()})
+    return used
+
+
+@pytest.mark.parametrize("capacity,mean", [(256, 150), (512, 220), (1024, 300), (3000, 300)])
+def test_plan_against_best_fit_and_bound(capacity, mean):
+    rng = np.random.default_rng(capacity)
+    hist = dict(Counter(np.clip(rng.lognormal(np.log(mean), 0.6, 8000).astype(int), 1, capacity).tolist()))
+    n = check_plan(hist, capacity, P.make_plan(hist, capacity))
+    assert P.lower_bound(hist, capacity) - 1e-6 <= n <= best_fit(hist, capacity)
+
+
+def test_program_is_feasible_and_bounded():
+    size, demand = np.array([3, 5, 7, 11]), np.array([40.0, 25, 30, 12])
+    s = P.solve(size, demand, 20, rounds=400, step=0.05)
+    covered = np.zeros(4)
+    for c, x in s.configurations.items():
+        assert sum(int(size[i]) * n for i, n in c) <= 20
+        for i, n in c:
+            covered[i] += n * x
+    assert (covered >= demand - 1e-6).all() and s.bound <= s.containers <= 1.1 * s.bound
+
+
 def test_many_equal_items_are_fast():
     hist = {k: 10**9 for k in range(1, 60)}
     check_plan(hist, 100, P.make_plan(hist, 100))
