@@ -11,7 +11,7 @@ from .boilerplate import find_furniture
 from .mixing import draw, reached
 from .mojibake import find_garbled
 from .packing import fill, pack
-from .repeated import find_repeated
+from .repeated import find_repeated, repeated_blocks
 from .residue import non_articles, residue_rates
 from .truncation import cut_rates, verdicts
 
@@ -36,6 +36,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_repeated(table(spark, folder, "noticias"))
 
 
+def p3_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of several repeated lines by source and length."""
+    return repeated_blocks(table(spark, folder, "noticias"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Values with characters changed by a wrong encoding."""
     return find_garbled(table(spark, folder, "noticias"))
@@ -96,5 +101,5 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.rates(table(spark, folder, "documents"), _scores(spark, folder))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p7_rates": p7_rates, "p8_assignment": p8_assignment, "p8_fill": p8_fill, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p3_found": p3_found, "p3_blocks": p3_blocks, "p4_found": p4_found, "p7_found": p7_found, "p7_rates": p7_rates, "p8_assignment": p8_assignment, "p8_fill": p8_fill, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 SQL = sql.SQL

@@ -51,10 +51,32 @@ def test_equals_brute_force(spark):
 def test_blocks_span_several_lines(spark):
     rows = [("m", f"n{i}", f"cuerpo {chr(97 + i)}\nuno\ndos\ntres\nfin {chr(97 + i)}") for i in range(8)] + [("m", "z", "uno\ndos")]
     docs = R.line_ids(frame(spark, rows))
-    blocks = {(len(r.block), r.docs) for r in R.blocks(docs, R._frequent(docs)).collect()}
+    blocks = {(len(r.block), r.docs) for r in R.blocks(docs).collect()}
     assert (3, 8) in blocks and (2, 9) in blocks and (1, 9) in blocks
 
 
+def test_blocks_longer_than_any_window(spark):
+    block = [f"regla {a}{b}" for a in "abcdefg" for b in "abcdefg"]  # 49 lines
+    rows = [("m", f"n{i}", "\n".join([f"cuerpo {chr(97 + i)}", *block, f"fin {chr(97 + i)}"])) for i in range(6)]
+    docs = R.line_ids(frame(spark, rows))
+    found = {len(r.lines): r.docs for r in R.long_blocks(docs).collect()}
+    assert max(found) == 48 and set(found.values()) == {6}
+
+
+def test_documents_are_counted_once(spark):
+    # a line twice in a text, and a document with two texts: four documents, five windows
+    rows = [("m", "a", "x\ny\nx\ny\nx"), ("m", "b", "x\nq"), ("m", "c", "x\nr"), ("m", "d", "x\ns"), ("m", "d", "x\nt")]
+    assert R.find_repeated(frame(spark, rows)).count() == 0
+    assert {tuple(r) for r in R.find_repeated(frame(spark, [*rows, ("m", "e", "x")])).collect()} == {("a", 1), ("a", 3), ("a", 5), *((k, 1) for k in "bcde")}
+
+
+def test_blocks_alone_decide(spark, monkeypatch):
+    rows = [("m", f"n{i}", f"propia {chr(97 + i)}\nAviso") for i in range(6)]
+    assert R.find_repeated(frame(spark, rows)).count() == 6
+    monkeypatch.setattr(R, "_common_prefixes", lambda batches: iter(()))
+    assert R.find_repeated(frame(spark, rows)).count() == 0
+
+
 def test_remove_empty_and_long(spark):
     rows = [("m", f"n{i}", f"propia {chr(97 + i)}\nAviso") for i in range(6)]
     out = {r.noticia_id: r.texto_sin_repetidas for r in R.remove_repeated(frame(spark, rows)).collect()}
