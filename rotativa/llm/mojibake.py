@@ -1,13 +1,15 @@
 """Garbled text from a wrong character encoding (problem 4).
 
-All garbled forms of the characters of Spanish text are computed once for every
-pair of encodings, also for a text decoded wrongly twice and for one whose
-garbled form was then written as HTML entities.  A multi-pattern automaton finds
-them.  Long forms stand for themselves.  A form of a single character may also
-be a correct foreign letter; it counts only where it can't be one - inside a
-word of another case or script, or a symbol against a letter - and the pair it
-proves explains the other single forms of that value.  Only matched spans are
-replaced, so that correct text beside them stays as it is.
+All garbled forms of the letters of Latin-1, Latin-2 and Cyrillic and of the
+marks of Spanish text are computed once for every pair of encodings, also for a
+text decoded wrongly twice and for one whose garbled form was then written as
+HTML entities.  A multi-pattern automaton finds them.  Long forms stand for
+themselves; one that stands for several characters alike is Spanish or left.  A
+form of a single character may also be a correct foreign letter; it counts only
+where it can't be one - inside a word of another case or script, or a symbol
+against a letter - and the pair it proves explains the other single forms of
+that value, but for those inside a long form that isn't understood.  Only matched
+spans are replaced, so that correct text beside them stays as it is.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 # Characters of Spanish text outside ASCII, and the encodings that are mixed up.
 LETTERS = "áéíóúüñÁÉÍÓÚÜÑ"
 MARKS = "¿¡«»°ºª·©®€–—‘’“”…›‹•"
+#: Letters of other languages, by the rule that these character sets name them.
+OTHERS = "".join(sorted({c for e in ("iso8859-1", "iso8859-2", "iso8859-5") for c in bytes(range(0xA0, 0x100)).decode(e) if c.isalpha()} - set(LETTERS + MARKS)))
 WRITTEN = ("utf-8", "cp1252", "mac_roman", "cp850")
 READ = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "iso8859-15", "cp1250")
 
@@ -32,6 +36,9 @@ FIELDS = ("titulo", "texto_extraido")
 LOST = "�"
 
 
+_CYRILLIC = re.compile(r"[Ѐ-ӿ]")
+
+
 def _read(raw: bytes, encoding: str) -> str:
     """Decode as lenient readers do: bytes without a meaning become control characters."""
     return "".join(_one(b, encoding) for b in raw)
@@ -72,6 +79,18 @@ def tables() -> tuple[ahocorasick.Automaton, dict[str, dict[str, str]]]:
                     long.setdefault(twice, c)
             elif g != c and not g.isascii():
                 single.setdefault(pair, {})[g] = c
+    others: dict[str, set[str]] = {}
+    for c in OTHERS:
+        for r in READ:
+            g = _read(c.encode("utf-8"), r)
+            # two Cyrillic letters may stand side by side in correct text
+            if not all(map(_CYRILLIC.match, g)):
+                others.setdefault(g, set()).add(c)
+                for again in ("cp1252", "latin-1"):
+                    others.setdefault(_read(g.encode("utf-8"), again), set()).add(c)
+    for g, cs in others.items():
+        if len(cs) == 1:
+            long.setdefault(g, *cs)
     for g, c in list(long.items()):
         for named in _entities(g):
             long.setdefault(named, c)
@@ -102,7 +121,6 @@ _END_LOST = re.compile(r"(?<=[^\W\d_])\?(?=,? [a-záéíóúñü(\d]|,$|\.$|;)")
 _START_LOST = re.compile(r"(?:^|(?<=[\s(]))\?(?=[^\W\d_])", re.M)
 _URL = re.compile(r"(?:https?://|www\.)\S+|\S+\.(?:php|asp|html?|jsp|com|mx|org|example)\S*\?\S+|\S+\?\S*=\S*")
 _LATIN_WORD = re.compile(r"[A-Za-z]")
-_CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 
 
 def lost_letters(text: str) -> bool:
@@ -225,32 +243,56 @@ def inspect(text: str | None) -> tuple[bool, bool]:
 _ODD = re.compile("(?<=[a-z])[" + re.escape(MARKS.replace("·", "").replace("’", "").replace("–", "").replace("…", "").replace("”", "").replace("»", "")) + "](?=[a-z])|(?<=[a-záéíóúüñ])[ÁÉÍÓÚÜÑ]")
 
 
+@lru_cache(maxsize=1)
+def _sequences() -> re.Pattern[str]:
+    """UTF-8 sequences of any character in any of the encodings they may have been read in."""
+    parts = []
+    for r in READ:
+        rest = "[" + "".join(re.escape(_one(b, r)) for b in range(0x80, 0xC0)) + "]"
+        for first, last, n in ((0xC2, 0xDF, 1), (0xE0, 0xEF, 2), (0xF0, 0xF4, 3)):
+            parts.append("[" + "".join(re.escape(_one(b, r)) for b in range(first, last + 1)) + "]" + rest * n)
+    return re.compile("|".join(parts))
+
+
 def repair(text: str | None) -> str | None:
     """The text with every matched span replaced; unchanged where nothing is garbled.
 
-    Letters lost to replacement marks can't be restored and stay as they are.
+    A text garbled several times over is restored step by step until nothing is
+    left to do.  Letters lost to replacement marks can't be restored and stay.
     """
     if not text or text.isascii() and "&" not in text:
         return text
-    for _ in range(3):
-        found = _spans(text)
-        if not found:
-            break
-        out, done = [], 0
+    new: set[int] = set()  # places of restored characters
+    # every step makes the text shorter
+    while found := _spans(text):
+        out, done, at, moved = [], 0, 0, set()
         for a, b, c in found:
+            moved |= {i - done + at for i in range(done, a) if i in new} if new else set()
+            at += a - done
+            moved.add(at)
+            at += 1
             out += [text[done:a], c]
             done = b
-        text = "".join(out) + text[done:]
+        moved |= {i - done + at for i in new if i >= done}
+        text, new = "".join(out) + text[done:], moved
     votes = proven_pairs(text)
     if votes:
-        foreign = [x for x in text if not x.isascii() and x not in LETTERS and x not in MARKS]
-        pair = max(sorted(votes), key=lambda p: 2 * votes[p] + sum(x in tables()[1][p] for x in foreign))
+        # what was restored, and what looks like a sequence that wasn't understood, stays as it is
+        whole = new | {i for q in _sequences().finditer(text) for i in range(*q.span())}
+        foreign = [i for i, x in enumerate(text) if not x.isascii() and x not in LETTERS and x not in MARKS and i not in whole]
+        pair = max(sorted(votes), key=lambda p: _explained(text, foreign, tables()[1][p], 2 * votes[p]))
         m = tables()[1][pair]
         # a correct Spanish character is replaced only where it can't be one
-        text = "".join(m[x] if x in m and (x not in _OWN or _fits(text, i, x, m[x])) else x for i, x in enumerate(text))
+        text = "".join(m[x] if x in m and i not in whole and (x not in _OWN or _fits(text, i, x, m[x])) else x for i, x in enumerate(text))
     return text
 
 
+def _explained(text: str, foreign: list[int], m: dict[str, str], proofs: int) -> tuple[int, int]:
+    """How much a pair explains: its proofs and characters, and how many of its letters have the case of their surroundings."""
+    cases = sum(m[x].islower() == text[i - 1 : i].islower() for i, x in enumerate(text) if x in m and text[i - 1 : i].isalpha())
+    return proofs + sum(text[i] in m for i in foreign), cases
+
+
 def find_garbled(notes: DataFrame, fields: Sequence[str] = FIELDS, key: str = "noticia_id") -> DataFrame:
     """(key, campo) of the values with characters changed by a wrong encoding.
 
@@ -287,3 +329,10 @@ def repair_column(notes: DataFrame, field: str, out: str) -> DataFrame:
         return s.map(lambda t: repair(t) if t else t)
 
     return notes.withColumn(out, F.when(_suspect(F.col(f"`{field}`")).isNotNull(), fix(F.col(f"`{field}`"))).otherwise(F.col(f"`{field}`")))
+
+
+def restored(notes: DataFrame, fields: Sequence[str] = FIELDS, key: str = "noticia_id") -> DataFrame:
+    """(key, campo, restaurado) of the values that repairing changes; null keys and values give no row, repeated rows count once."""
+    named = F.explode(F.array(*(F.struct(F.lit(f).alias("campo"), _suspect(F.col(f"`{f}`").cast("string")).alias("valor")) for f in fields))).alias("v")
+    some = notes.select(F.col(f"`{key}`").cast("string").alias("k"), named).select("k", "v.campo", "v.valor").where("k IS NOT NULL AND valor IS NOT NULL")
+    return repair_column(some, "valor", "restaurado").where("restaurado != valor").select(F.col("k").alias(key), "campo", "restaurado").distinct()

@@ -9,7 +9,7 @@ from ..sources.tables import table
 from . import abuse, sql
 from .boilerplate import find_furniture
 from .mixing import draw, reached
-from .mojibake import find_garbled
+from .mojibake import find_garbled, restored
 from .packing import fill, pack
 from .repeated import find_repeated, repeated_blocks
 from .residue import non_articles, residue_rates
@@ -46,6 +46,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_garbled(table(spark, folder, "noticias"))
 
 
+def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The text of every value that could be restored, in whole or in part."""
+    return restored(table(spark, folder, "noticias"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Values that break off before their last sentence is complete."""
     return verdicts(table(spark, folder, "noticias")).select("noticia_id", "campo")
@@ -101,5 +106,5 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.rates(table(spark, folder, "documents"), _scores(spark, folder))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p3_found": p3_found, "p3_blocks": p3_blocks, "p4_found": p4_found, "p7_found": p7_found, "p7_rates": p7_rates, "p8_assignment": p8_assignment, "p8_fill": p8_fill, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p3_found": p3_found, "p3_blocks": p3_blocks, "p4_found": p4_found, "p4_restored": p4_restored, "p7_found": p7_found, "p7_rates": p7_rates, "p8_assignment": p8_assignment, "p8_fill": p8_fill, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 SQL = sql.SQL

@@ -55,3 +55,40 @@ def test_frame(spark):
     assert sorted(map(tuple, M.find_garbled(df).collect())) == [("a", "titulo"), ("b", "texto_extraido")]
     assert [r.t2 for r in M.repair_column(df, "titulo", "t2").collect()] == [TEXT, TEXT, None, TEXT, ""]
     assert M.find_garbled(df.where("false")).count() == 0
+
+
+#: The two readings in which one form stands for two characters; the Spanish one is taken.
+ALIKE = {("Ì", "cp1252"), ("è", "iso8859-15"), ("ý", "iso8859-15")}
+
+
+def test_letters_of_other_languages_are_restored_or_left():
+    restored = n = 0
+    for c in M.OTHERS + M.LETTERS:
+        for r in M.READ:
+            bad = M._read(c.encode("utf-8"), r)
+            for around in ("ab%scd", "%sbc", "Ab%s", "a %s b", "AB%sCD"):
+                out = M.repair(around % bad)
+                n += 1
+                restored += out == around % c
+                assert out in (around % bad, around % c) or (c, r) in ALIKE, (c, r, out)
+    assert restored > 0.85 * n
+
+
+@pytest.mark.parametrize("good", ["François", "São Paulo", "naïve crème", "Łódź i Kraków", "мир и труд", "El niño de Orléans"])
+def test_foreign_names(good):
+    bad = garble(good, "utf-8", "cp1252")
+    assert M.repair(bad) == good or M.repair(bad).count("Ã") == 0 and all(x in good or x in bad for x in M.repair(bad))
+    assert M.repair(good) == good
+
+
+def test_garbled_many_times():
+    t = "Política"
+    for _ in range(6):
+        t = garble(t, "utf-8", "cp1252")
+    assert len(M.repair(t)) < len(t)
+
+
+def test_restored(spark):
+    rows = [("a", "FranÃ§ois", "bien"), ("a", "FranÃ§ois", "bien"), ("b", None, "SÃ£o"), (None, "Ã¡", None), ("c", "", "x")]
+    got = {tuple(r) for r in M.restored(spark.createDataFrame(rows, "noticia_id string, titulo string, texto_extraido string")).collect()}
+    assert got == {("a", "titulo", "François"), ("b", "texto_extraido", "São")}
