@@ -59,14 +59,18 @@ def test_frame(spark, model):
     assert empty.document("hola") < 0.5 and A.score(df.where("false"), model).count() == 0
 
 
+def of_words(weights, bias):
+    return A.Model([int(A.features([w])[1][0]) for w in weights], list(weights.values()), bias)
+
+
 def test_disguise_among_harmless_words():
-    m = A.Model({"pendejo": 20.0, "alcalde": -2.0, "comision": -2.0}, -2.0)
+    m = of_words({"pendejo": 20.0, "alcalde": -2.0, "comision": -2.0}, -2.0)
     for t in ("p.e.n.d.e.j.o", "p3nd3j0", "pen*dejo", "pendejooo"):
         text = f"La reunión siguió.\nEl alcalde de la comisión es un {t}"
         assert m.document(text) > 0.5 and m.document(text) == max(m.document("La reunión siguió."), m.passage(text.split("\n")[1]))
     assert not A.disguises("el ano 2026 cerro con 14 casos.") and A.disguises("1d10t4")
     # what stands undisguised isn't lost by undoing disguises
-    assert A.Model({"xxx": 9.0}, -2.0).document("videos xxx") > 0.5
+    assert of_words({"xxx": 9.0}, -2.0).document("videos xxx") > 0.5
 
 
 def test_every_passage_trains(spark, monkeypatch):
@@ -74,10 +78,40 @@ def test_every_passage_trains(spark, monkeypatch):
     letters = "translate(lpad(conv(id, 10, 16), 5, '0'), '0123456789ABCDEF', 'bcdfghjklmnpqrst')"
     docs = spark.range(24_000).selectExpr("id AS doc_id", f"concat('El informe cita a w', {letters}, IF(id % 800 = 0, '\\nEres un idiota, das asco v', '\\nLa obra sigue v'), {letters}) AS text")
     m = A.fit(docs, None)
-    words = {w for r in docs.collect() for p in A.passages(r.text) for w in A.words_of(p)}
-    assert len(words) > 47_000 and words <= set(m.weights)
+    one = lambda w: float(m.weights[A.features([w])[1][0]])
+    words = {w for r in docs.collect() for p in A.passages(r.text) for w in p.split() if w[0] in "wv" and len(w) > 4}
+    assert len(words) > 47_000 and sum(one(w.strip(".")) != 0 for w in words) == len(words)
     # the 800th stands with an insult, the 801st doesn't
-    assert m.weights["vbbfdb"] > m.weights["vbbfdc"]
+    assert one("vbbfdb") > one("vbbfdc")
+
+
+def test_features_equal_plain_counting():
+    ps = ["eres un idiota q x y", "", "ñandú 77", "a b"]
+    row, bucket, size = A.features(ps)
+    assert size.tolist() == [9, 0, 1, 0] and len(row) == len(bucket) == 10
+    single = {w: int(A.features([w])[1][0]) for w in ("eres", "idiota", "que")}
+    assert set(single.values()) <= set(bucket[row == 0].tolist())
+
+
+def test_optimiser_reaches_the_ridge_optimum():
+    rng = np.random.default_rng(4)
+    ps = [" ".join(rng.choice(["alfa", "beta", "gama", "delta", "zeta"], 4)) for _ in range(400)]
+    y = np.array([float("alfa" in p) for p in ps])
+    names, w, b, often = A.train(ps, y, np.ones(400), rounds=400)
+    m = A.Model(names, w, b)
+    assert ((np.array([m.document(p) for p in ps]) > 0.5) == (y > 0.5)).mean() > 0.97 and often.max() <= 400
+
+
+@pytest.mark.parametrize("t,bad", [("You are a stupid idiot", True), ("Los tolmecos son unos animales", True), ("Te voy a partir la cara si vuelves", True), ("\u0435res un idi\u043eta", True), ("i.d.i.o.t.a, eres un p.e.n.d.e.j.o", True),
+                                   ("La policía detuvo a dos hombres por amenazas", False), ("El museo abre el martes", False), ("Voy a matar el tiempo leyendo", False), ("Погода в городе хорошая", False)])
+def test_wordings_that_stand_in_no_table(spark, data, t, bad, wide):
+    assert (wide.document(t) >= A.THRESHOLD) == bad
+
+
+@pytest.fixture(scope="module")
+def wide(spark, data):
+    d = data.replace("sf0.001", "sf0.1")
+    return A.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/muestras_moderacion.parquet"))
 
 
 def test_votes_by_count():
