@@ -33,13 +33,10 @@ FURN, HEAD, LINK, NAV, MENU1, AD, EMBED, RES, LABEL, TEXT, BLANK = (
 _ACCENT = str.maketrans({c: f"{b}?" for c, b in zip("áéíóúüñ", "aeiouun")})
 _MARKS = re.compile(r"(?<=\d)\?(?= ?c\b)| \?(?= )|(?<=[a-z])\?(?=[a-z])|^\?(?=[a-z])|(?<=[a-z]) ?\?(?= [a-z]|$)")
 _SPACE = re.compile(r"\s+")
-#: Wording is decided by the beginning of a line; the rest only by its length.
-KEY_CHARS = 240
 
 
 def key(line: str) -> str:
-    """Encoding-proof form of a line's beginning: ASCII, lower case, single spaces."""
-    line = line[:KEY_CHARS]
+    """Encoding-proof form of a line: ASCII, lower case, single spaces."""
     if "&" in line and ";" in line:
         line = html.unescape(line)
     k = line.lower().encode("ascii", "ignore").decode()
@@ -167,6 +164,11 @@ _LABEL = _Words(
 )
 
 
+_THING = "(?:page|url|article|story|content|site|resource|página|nota|artículo|contenido|sitio|recurso)"
+_GONE = (
+    r"(?: you \w+(?: \w+)*| que \w+(?: \w+)*| solicitad[oa])? (?:(?:\w+ ){0,2}?(?:not|no|cannot)\b(?: \w+){0,2}? (?:found|available|exists?|encontrad[oa]|disponible|existe)|"
+    r"(?:is |was |has been |fue |ha sido |está )?(?:unavailable|removed|deleted|eliminad[oa]|retirad[oa]))\b(?: ?[|\-–].*|\W*)$"
+)
 # Wording that stands where an article should be.
 _RES = _Words(
     # filler
@@ -178,6 +180,7 @@ _RES = _Words(
     r"(?:4\d\d|5\d\d)(?: .{1,40})?$", r"(?:error|http) ?\d{3}\b", r"página no (?:encontrada|disponible|existe)", r"lo sentimos, (?:el contenido|la página|no)",
     r"el archivo no existe", r"el servidor (?:tardó|no responde|no está)", r"la dirección solicitada", r"dominio en venta", r"sitio en mantenimiento",
     r"(?:service|temporarily|server) (?:temporarily |is )?(?:unavailable|error)", r"ups! ", r"ups!? algo", r"algo salió mal", r"error al establecer una conexión",
+    rf"{_THING}{_GONE}", rf"(?:the|la|el|this|esta|este) (?:requested )?{_THING}{_GONE}",
     r"curl error", r"fatal error", r"internal server error", r"bad gateway", r"not found$", r"forbidden$", r"warning: ", r"\{ ?\"(?:status|error|message|code)\"",
     r"(?:bad request|gateway time-?out|request timed out|connection (?:refused|reset|timed out))", r"nota (?:eliminada|no disponible|retirada)",
     # access walls
@@ -188,17 +191,18 @@ _RES = _Words(
     r"(?:please )?(?:turn|enable|activate) (?:on )?(?:javascript|scripts)", r"please (?:turn|enable)", r"javascript (?:is|está|debe)", r"enable scripts",
     r"(?:necesita|necesitas) habilitar", r"por favor,? (?:activa|active|habilita|habilite)", r"este sitio no funciona", r"su navegador (?:tiene|no)",
     r"tu navegador (?:tiene|no)", r"si ve este mensaje", r"espere mientras se (?:inicia|carga)", r"para continuar,? (?:active|habilite)",
-    r"you need to enable", r"this (?:site|app|application|page) requires",
+    r"you need to enable", r"this (?:site|app|application|page) requires", r"(?:requiere|necesita|requires|needs|se requiere|se necesita)(?: \w+){0,3} javascript", r"javascript (?:es |was |has been |está )?(?:required|needed|disabled|necesario|requerido|obligatorio|desactivado|deshabilitado|not enabled|no está)",
 )
 
 # Unfilled places, one grammar for each kind of delimiter; on the stored line.
 _PLACE = re.compile(
     r"\{\{[^{}]{0,80}\}\}|\{%[^%]{0,80}%\}|<%[^%]{0,80}%>|[$#]\{[\w.: ]{1,60}\}|\{[A-Za-z_][\w.]{0,50}\}|\{\d{1,2}\}|\[\[[^\[\]]{1,60}\]\]|"
-    r"\[[A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ_ \d]{0,50}\]|%[A-Z][A-Z_\d]{1,40}%|@@[\w ]{1,40}@@|__[A-Z][A-Z_\d]{2,40}__|<<[\w .]{1,40}>>|<[A-Z][A-Z_]{2,40}>|\$[a-z_]{2,40}\$"
+    r"\[[A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ_ \d]{0,50}\]|%[A-Z][A-Z_\d]{1,40}%|@@[\w ]{1,40}@@|__[A-Z][A-Z_\d]{2,40}__|<<[\w .]{1,40}>>|<[A-Z][A-Z_]{2,40}>|\$[a-z_]{2,40}\$|"
+    r"%\([A-Za-z_]\w{0,40}\)[sdifr]|(?<![\w.])@(?:Model|ViewBag|Html|Url)\.[\w.()]{1,60}|\{\$[\w.>-]{1,60}\}|<\?(?:php|=)[^?]{0,80}\?>|\[%[^%]{0,80}%\]|\*\|[A-Z_:\d]{2,40}\|\*|(?<!\w)#[A-Z][A-Z_\d]{2,40}#|%%[A-Z_]{2,40}%%"
 )
 #: A single place makes a line residue when it is at least this share of it.
 PLACE_SHARE = 0.15
-_PLACE_HINT = re.compile(r"[{}<%@\[$_]")
+_PLACE_HINT = re.compile(r"[{}<%@\[$_*#]")
 # Code and tutorials quote such places; lines that show them as code don't count.
 _CODE = re.compile(r"`|</?(?:code|pre)\b|\b(?:def|function|import|return|print|var|const)\b.*[(;=]|^\s{4,}\S")
 _LATIN = frozenset(
@@ -210,12 +214,23 @@ _ASCII_WORD = re.compile(r"[a-z]+")
 
 
 _CROSSES = re.compile(r"x{3,}(?: x{3,})*\W*")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+# Words of messages about the page itself.
+_PAGE_WORDS = frozenset("javascript navegador browser cookies error servidor server página pagina page scripts script recargue recarga reload robot captcha acceso permiso permission enable habilite habilitar active activar disabled unavailable disponible dirección url".split())
+
+
+def _of_messages(k: str) -> bool:
+    """Whether messages make at least half of a line that begins with one."""
+    parts = _SENTENCE.split(k)
+    said = sum(len(x) for x in parts if _RES.match(x, _FIRST.match(x)[0]) or sum(w in _PAGE_WORDS for w in _ASCII_WORD.findall(x)) > 1)
+    return 2 * said >= len(k)
 
 
 def residue(line: str, k: str) -> bool:
     """Whether a line is template residue, filler, an error message or a script notice."""
     word = _FIRST.match(k)[0]
-    if _RES.match(k, word) and len(line) < 200:
+    # a message fills a short line; a long one may be an article that begins with it
+    if _RES.match(k, word) and (len(line) < 200 or _of_messages(k)):
         return True
     if k[:3] == "xxx" and _CROSSES.fullmatch(k):
         return True
@@ -230,8 +245,7 @@ def residue(line: str, k: str) -> bool:
     return False
 
 
-@lru_cache(maxsize=1 << 14)
-def _short(line: str) -> str:
+def _classify(line: str) -> str:
     k = key(line)
     if not k:
         return TEXT if line.strip() else BLANK
@@ -269,8 +283,33 @@ def _imprint(k: str) -> bool:
 _SKY = re.compile(r".{2,45}, ?-?\d+ ?(?:&\w+;)?c, (?:parcialmente |mayormente )?nublado")
 
 
+_known = lru_cache(maxsize=1 << 14)(_classify)
+
+
 def classify(line: str) -> str:
     """Class of one line by its wording alone."""
-    if len(line) > 420:
-        return RES if residue(line, key(line)) else TEXT
-    return _short(line)
+    # long lines seldom repeat and aren't remembered
+    return _known(line) if len(line) <= 420 else _classify(line)
+
+
+_FENCE = re.compile(r"\s*(?:```|~~~)")
+_OPENS, _CLOSES = re.compile(r"<(?:pre|code)\b", re.I), re.compile(r"</(?:pre|code)>", re.I)
+
+
+def classify_page(parts: list[str]) -> list[str]:
+    """Classes of the lines of a page; inside a block of code nothing is residue."""
+    out = list(map(classify, parts))
+    if RES not in out and EMBED not in out:
+        return out
+    code = set()
+    fences = [i for i, x in enumerate(parts) if _FENCE.match(x)]
+    for a, b in zip(fences[::2], fences[1::2]):
+        code.update(range(a, b + 1))
+    start = None
+    for i, x in enumerate(parts):
+        if start is None and _OPENS.search(x):
+            start = i
+        if start is not None and _CLOSES.search(x):
+            code.update(range(start, i + 1))
+            start = None
+    return [TEXT if i in code and c in (RES, EMBED) else c for i, c in enumerate(out)] if code else out

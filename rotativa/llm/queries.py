@@ -12,7 +12,7 @@ from .mixing import draw, reached
 from .mojibake import find_garbled, restored
 from .packing import fill, pack
 from .repeated import find_repeated, repeated_blocks
-from .residue import non_articles, residue_rates
+from .residue import non_articles, residue_by_flags, residue_rates
 from .truncation import cut_rates, verdicts
 
 
@@ -26,6 +26,11 @@ def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
     return residue_rates(table(spark, folder, "noticias"), F.col("medio_id")).withColumnRenamed("grupo", "medio_id")
 
 
+def p1_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of non-articles by the source's need of scripts and the earlier grade."""
+    return residue_by_flags(table(spark, folder, "noticias"), table(spark, folder, "medios"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Furniture lines of the three text fields of every article."""
     return find_furniture(table(spark, folder, "noticias"))
@@ -106,5 +111,5 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.rates(table(spark, folder, "documents"), _scores(spark, folder))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p3_found": p3_found, "p3_blocks": p3_blocks, "p4_found": p4_found, "p4_restored": p4_restored, "p7_found": p7_found, "p7_rates": p7_rates, "p8_assignment": p8_assignment, "p8_fill": p8_fill, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_flags": p1_flags, "p2_found": p2_found, "p3_found": p3_found, "p3_blocks": p3_blocks, "p4_found": p4_found, "p4_restored": p4_restored, "p7_found": p7_found, "p7_rates": p7_rates, "p8_assignment": p8_assignment, "p8_fill": p8_fill, "p9_drawn": p9_drawn, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 SQL = sql.SQL

@@ -38,8 +38,7 @@ def is_non_article(text: str | None, classes: list[str] | None = None) -> bool:
         return False
     before = after = found = links = longest = voids = 0
     parts = text.split("\n")
-    for i, line in enumerate(parts):
-        c = classes[i] if classes is not None else L.classify(line)
+    for line, c in zip(parts, classes if classes is not None else L.classify_page(parts)):
         if c == L.HEAD and found:
             break  # what follows is a list of other notes
         if c == L.RES:
@@ -93,3 +92,14 @@ def residue_rates(notes: DataFrame, by: Column, key: str = "noticia_id", text: s
     return all_notes.join(bad, key, "left").groupBy("grupo").agg(
         F.count("*").alias("notas"), F.count("malo").alias("no_articulos"), F.round(F.count("malo") / F.count("*"), 6).alias("parte"),
     )
+
+
+def residue_by_flags(notes: DataFrame, sources: DataFrame, key: str = "noticia_id", text: str = "texto_extraido", grade: str = "calidad_extraccion", source: str = "medio_id", script: str = "requiere_javascript") -> DataFrame:
+    """(script, grade, notas, no_articulos, parte): what the earlier grade and the source's need of scripts say of residue.
+
+    Neither decides a note; a flag or grade that is null is a group of its own.
+    """
+    flags = sources.select(F.col(source), F.col(script)).groupBy(source).agg(F.bool_or(script).alias(script))
+    all_notes = notes.select(F.col(f"`{key}`").alias("k"), F.col(source), F.col(grade)).distinct().join(flags, source, "left")
+    bad = non_articles(notes, key, text).select(F.col(key).alias("k"), F.lit(1).alias("malo"))
+    return all_notes.join(bad, "k", "left").groupBy(script, grade).agg(F.count("*").alias("notas"), F.count("malo").alias("no_articulos"), F.round(F.count("malo") / F.count("*"), 6).alias("parte"))

@@ -91,3 +91,52 @@ def test_furniture_frame(spark):
     assert [g for g in got if g[1] != "texto_extraido"] == [("a", "texto_cuerpo_nota", 1), ("c", "texto_nota_limpia", 1)]
     assert len(got) == 11
     assert B.find_furniture(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["%(titulo)s", "@Model.Title", "{$nota.cuerpo}", "<?= $titulo ?>", "*|TITULO|*", "[% cuerpo %]", "Page not found | El Diario", "The page you requested was not found", "JavaScript required", "Se requiere activar JavaScript", "This page could not be found.",
+                                  "Please enable JavaScript to view this page. " + "Your browser has scripts disabled. Reload the page after you enable JavaScript. " * 5])
+def test_residue_of_other_wordings(text):
+    assert is_non_article(text)
+
+
+@pytest.mark.parametrize("text", ["The article is available", "Nota disponible en el archivo", "Este sitio existe desde 1990"])
+def test_likenesses_of_residue(text):
+    assert L.classify(text) == L.TEXT
+
+
+def test_code_blocks_are_no_residue():
+    places = "{{titulo}}\n{{cuerpo}}\n{{autor}}"
+    tutorial = "La plantilla muestra tres campos al editor.\n%s\nCon eso la portada queda lista."
+    assert not is_non_article(tutorial % f"```\n{places}\n```") and not is_non_article(tutorial % f"<pre>\n{places}\n</pre>")
+    assert is_non_article(places)
+
+
+def test_long_lines_have_the_same_grammar():
+    consent = "Utilizamos cookies propias y de terceros " + "para medir el uso del sitio " * 40
+    assert len(consent) > 1000 and L.classify(consent) == L.FURN
+    assert L.classify("Página no encontrada era el aviso. " + "El municipio explicó que el portal estuvo en obra y que la gente pudo pagar en caja. " * 6) == L.TEXT
+    far = "\n".join(["Aviso suelto de la página"] * 60 + ["La clínica amplió su horario", "El municipio informó."])
+    assert B.furniture_lines(far, "La clínica amplió su horario") == list(range(1, 60))  # the line above the title is its label
+
+
+def test_fitted_classifier():
+    # a class the body never holds becomes dearer, one it always holds cheaper; the same at every size
+    few = {(L.TEXT, ""): (900, 20), (L.FURN, ""): (3, 300), (L.TEXT, "headline"): (5, 95)}
+    shifts = B.fit_shifts(few)
+    assert shifts[(L.TEXT, "headline")] > 0.3 and B.fit_shifts({}) == {}
+    many = B.fit_shifts({k: (a * 10**7, b * 10**7) for k, (a, b) in few.items()})
+    assert all(abs(many[k] - shifts[k]) < 1e-6 for k in few)
+    page = "Nacional | Cultura\nLa clínica amplió\nUno dice algo.\nDos dice algo.\nTres dice algo.\nOtra nota"
+    parts = page.split("\n")
+    got = B.labelled(page, "Uno dice algo.\nDos dice algo.\nTres dice algo.", "La clínica amplió", L.classify_page(parts))
+    assert [f for _, _, f in got] == [True, False, False, False, True]
+
+
+def test_each_stage_changes_rows():
+    # an entry between two sure lines follows its neighbours; without edges its own odds stand
+    parts = ["Utilizamos cookies propias", "Boletín semanal", "Síguenos en redes", "El municipio informó."]
+    classes = L.classify_page(parts)
+    score, edges = B.scores(parts, classes, "", "", {}, {(classes[1], ""): 2.5})
+    assert B.min_cut(score, edges)[1] != B.min_cut(score, [])[1]
+    plain = B.scores(parts, classes, "", "", {})[0]
+    assert plain != score
