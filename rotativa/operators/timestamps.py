@@ -9,7 +9,9 @@ clocks skipped; one gives the offset.
 Everything is built-in expressions.  The intervals are exploded by month, so
 that the join is an equality of zone and month with at most a few intervals a
 row to look at, and their number has a bound: zones of the tz database times
-months of the years covered.
+months of the years covered.  Earlier times are in a zone's first interval; a
+later year takes the place of a covered one with the same calendar, as rules
+without an end go by month and weekday.
 """
 
 from __future__ import annotations
@@ -33,9 +35,11 @@ ABBREVIATIONS = {
     "COT": -300, "PET": -300, "CLT": -240, "CLST": -180, "ART": -180, "BRT": -180, "UYT": -180, "VET": -240,
 }
 
-#: Years whose local times are resolved.
-YEARS = (1970, 2100)
+#: Years whose intervals are listed: before the first change of any zone, to 28 years of rules without an end.
+YEARS = (1850, 2065)
 _DAY = 86_400
+#: Beginning of all first intervals, in seconds.
+_EVER = -(1 << 40)
 
 
 @lru_cache(maxsize=None)
@@ -61,22 +65,44 @@ def offset_intervals(zone: str, years: tuple[int, int] = YEARS) -> tuple[tuple[i
                 t = b
                 continue
         t = nxt
-    return (*out, (start, hi, off))
+    out.append((start, hi, off))
+    return ((_EVER, *out[0][1:]), *out[1:])
 
 
 def zone_months(spark: SparkSession, zones: list[str]) -> DataFrame:
     """(zone, month, near): per zone and local month the intervals with local bounds that touch it."""
     known = available_timezones()
-    rows = [(z, a + off, b + off, off) for z in zones if z in known for a, b, off in offset_intervals(z)]
+    rows = [(z, a if a == _EVER else a + off, b + off, off) for z in zones if z in known for a, b, off in offset_intervals(z)]
     spans = spark.createDataFrame(rows, "zone string, lo long, hi long, off int")
     # month numbers are cut from UTC dates whatever the session's zone is
-    index = lambda s: (F.year(_date(s)) - YEARS[0]) * 12 + F.month(_date(s)) - 1
     last = F.lit((YEARS[1] - YEARS[0] + 1) * 12 - 1)
-    months = F.sequence(F.greatest(index(F.col("lo")), F.lit(0)), F.least(index(F.col("hi")), last))
-    spread = spans.where(index(F.col("lo")) <= last).select("zone", F.explode(months).alias("month"), F.struct("lo", "hi", "off").alias("near"))
+    first = F.when(F.col("lo") == _EVER, 0).otherwise(F.greatest(_month(_date(F.col("lo"))), F.lit(0)))
+    months = F.sequence(first, F.least(_month(_date(F.col("hi"))), last))
+    spread = spans.where(first <= last).select("zone", F.explode(months).alias("month"), F.struct("lo", "hi", "off").alias("near"))
     return spread.groupBy("zone", "month").agg(F.array_sort(F.collect_list("near")).alias("near"))
 
 
+def _month(date: Column) -> Column:
+    return (F.year(date) - YEARS[0]) * 12 + F.month(date) - 1
+
+
+def _first_day(year: Column) -> Column:
+    """Days from the epoch to the first of January."""
+    y = year - 1
+    return y * 365 + F.floor(y / 4) - F.floor(y / 100) + F.floor(y / 400) - 719_162
+
+
+def _covered(seconds: Column) -> Column:
+    """Local seconds at the same place of a covered year with the same calendar."""
+    year = F.year(_date(seconds))
+    start = _first_day(year)
+    kind = F.pmod(start, F.lit(7)) * 2 + F.when((year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0)), 1).otherwise(0)
+    day = lambda y: (datetime(y, 1, 1, tzinfo=UTC) - datetime(1970, 1, 1, tzinfo=UTC)).days
+    like = {day(y) % 7 * 2 + (day(y + 1) - day(y) - 365): day(y) for y in range(YEARS[1] - 27, YEARS[1] + 1)}
+    table = F.create_map(*(F.lit(x) for k, v in sorted(like.items()) for x in (k, v)))
+    return F.when(year > YEARS[1], seconds + (F.element_at(table, kind.cast("int")) - start) * _DAY).otherwise(seconds).cast("long")
+
+
 def _date(seconds: Column) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / _DAY).cast("int"))
 
@@ -98,23 +124,23 @@ def parsed(value: Column, order: Column) -> Column:
     spanish = rf"^(?:\p{{L}}+,? )?(\d{{1,2}})(?:º|°)? (?:de )?(\p{{L}}+)\.? (?:de |del )?(\d{{4}}),?(?: -)?(?: a las?)? {clock}{half}(?: ?(?:h|hrs?|horas)\.?)?{zone}$"
     english = rf"^(?:\p{{L}}+,? )?(\p{{L}}+)\.? (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}}),?(?: at)? {clock}{half}{zone}$"
     epoch = r"^(\d{10}|\d{13}|\d{16}|\d{19})$"
-    e = lambda p, g: F.nullif(F.regexp_extract(s, p, g), F.lit(""))
-
-    kind = (
-        F.when(s.rlike(epoch), "epoch").when(s.rlike(iso), "iso").when(s.rlike(compact), "compact").when(s.rlike(numeric), "numeric")
-        .when(s.rlike(spanish), "spanish").when(s.rlike(english), "english")
-    )
-    fields = {"y": (1, 1, 3, 3, 3), "h": (4, 4, 4, 4, 4), "mi": (5, 5, 5, 5, 5), "s": (6, 6, 6, 6, 6), "f": (7, 7, 7, 7, 7), "ap": (8, None, 8, 8, 8), "z": (9, 8, 9, 9, 9), "a": (2, 2, 1, 2, 1), "b": (3, 3, 2, 1, 2)}
-    names, patterns = ("iso", "compact", "numeric", "spanish", "english"), (iso, compact, numeric, spanish, english)
+    names = ("y", "h", "mi", "s", "f", "ap", "z", "a", "b")
+    found = {
+        "epoch": (epoch, ()), "iso": (iso, (1, 4, 5, 6, 7, 8, 9, 2, 3)), "compact": (compact, (1, 4, 5, 6, 7, None, 8, 2, 3)), "numeric": (numeric, (3, 4, 5, 6, 7, 8, 9, 1, 2)),
+        "spanish": (spanish, (3, 4, 5, 6, 7, 8, 9, 2, 1)), "english": (english, (3, 4, 5, 6, 7, 8, 9, 1, 2)),
+    }
+    # the parts in one order, taken out by the one notation that fits
+    pieces = None
+    for kind, (pattern, groups) in found.items():
+        text = F.concat(F.lit(f"{kind}\x01"), F.regexp_replace(s, pattern, "\x01".join("" if g is None else f"${g}" for g in groups)))
+        pieces = F.when(s.rlike(pattern), text) if pieces is None else pieces.when(s.rlike(pattern), text)
 
-    def part(name: str) -> Column:
-        out = None
-        for n, p, g in zip(names, patterns, fields[name]):
-            if g is not None:
-                out = F.when(kind == n, e(p, g)) if out is None else out.when(kind == n, e(p, g))
-        return out
+    def parts(x: Column) -> Column:
+        at = lambda i: F.nullif(F.get(x, F.lit(i)), F.lit(""))
+        return F.struct(at(0).alias("kind"), *(at(i).alias(n) for i, n in enumerate(names, 1)), F.when(at(0) == "epoch", s).alias("e"), order.alias("order"))
 
-    return F.struct(kind.alias("kind"), *(part(n).alias(n) for n in fields), F.when(kind == "epoch", s).alias("e"), order.alias("order"))
+    # bound by a lambda, so that nothing is evaluated again for each part
+    return F.transform(F.array(F.split(F.coalesce(pieces, F.lit("")), "\x01")), parts)[0]
 
 
 def _month_number(name: Column) -> Column:
@@ -192,7 +218,8 @@ def normalise(
     source's clock, all-numeric dates are read day first.
     """
     spark = df.sparkSession
-    zones = [r[0] for r in clocks.select(F.trim(F.col(zone))).where(F.col(zone).isNotNull()).distinct().limit(len(available_timezones()) + 1).collect()]
+    # of unchecked strings only those that name a zone come to the driver
+    zones = [r[0] for r in clocks.select(F.trim(F.col(zone)).alias("z")).where(F.col("z").isin(sorted(available_timezones()))).distinct().collect()]
     months = zone_months(spark, zones)
     clock = clocks.select(F.col(f"`{source}`").alias("__m"), F.trim(F.col(f"`{zone}`")).alias("zone"), F.col(f"`{order}`").alias("order")).dropDuplicates(["__m"])
     values = df.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{source}`").alias("m"), F.explode(F.array(*(F.struct(F.lit(f).alias("campo"), F.col(f"`{f}`").cast("string").alias("valor")) for f in fields))).alias("v"))
@@ -200,10 +227,11 @@ def normalise(
     values = values.join(clock, F.col("m") == F.col("__m"), "left").withColumn("p", parsed(F.col("valor"), F.coalesce("order", F.lit("DMY"))))
     values = values.withColumn("r", resolved(F.col("p")))
     seconds = ((F.col("r.micros") - F.pmod("r.micros", F.lit(1_000_000))) / 1_000_000).cast("long")
-    month = F.when(F.col("r.local"), (F.year(_date(seconds)) - YEARS[0]) * 12 + F.month(_date(seconds)) - 1)
+    values = values.withColumn("at", F.when(F.col("r.local"), _covered(seconds)))
+    month = F.greatest(_month(_date(F.col("at"))), F.lit(0))
     # the zones are those of the tz database, their months a fixed span: a bounded side
     near = values.withColumn("month", month).join(F.broadcast(months), ["zone", "month"], "left")
-    match = F.filter("near", lambda x: (F.col("r.micros") >= x["lo"] * 1_000_000) & (F.col("r.micros") < x["hi"] * 1_000_000))
+    match = F.filter("near", lambda x: (F.col("at") >= x["lo"]) & (F.col("at") < x["hi"]))
     near = near.withColumn("hit", match)
     first = F.array_max(F.transform("hit", lambda x: x["off"]))
     micros = F.when(F.col("r").isNull(), None).when(~F.col("r.local"), F.col("r.micros")).when(F.size("hit") > 0, F.col("r.micros") - first.cast("long") * 1_000_000)

@@ -70,3 +70,14 @@ def test_session_zone_and_empty(spark, clocks):
 def test_intervals_cover():
     x = offset_intervals(ZONE)
     assert all(a[1] == b[0] and a[2] != b[2] for a, b in zip(x, x[1:]))
+
+
+def test_far_years(spark, clocks):
+    got = run(spark, clocks, [("T", f"{y}-{m}-15 12:30:00") for y in (1000, 1849, 1965, 2105, 2400, 9999) for m in ("01", "07")])
+    for (y, m), (text, state) in zip([(y, m) for y in (1000, 1849, 1965, 2105, 2400, 9999) for m in (1, 7)], got):
+        # zoneinfo knows rules without an end for every year
+        off = ZoneInfo(ZONE).utcoffset(datetime(y, m, 15, 12, 30))
+        want = datetime(y, m, 15, 12, 30) - off
+        assert state == "unico" and text == want.strftime(f"{want.year:04d}-%m-%dT%H:%M:%S.000000Z"), (y, m, text)
+    # the changes themselves: first Sunday of November and second of March, in 2105
+    assert run(spark, clocks, [("T", "2105-11-01 01:30:00"), ("T", "2105-03-08 02:30:00")]) == [("2105-11-01T08:30:00.000000Z", "ambiguo"), (None, "inexistente")]
