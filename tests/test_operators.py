@@ -1,3 +1,4 @@
+import pytest
 import random
 from datetime import date, datetime
 
@@ -158,3 +159,19 @@ def test_streams_equal_batch(spark, data):
     streams.run_to_end(streams.stream_table(spark, data, "logs_ingesta"), step=lambda b, n: seen.append(b.count()))
     assert sum(seen) == log.count()
     assert streams.new_only(log, log.limit(0), ["log_id"]).count() == log.select("log_id").distinct().count()
+
+
+def test_shared_folder(spark, monkeypatch, tmp_path):
+    import os
+
+    from rotativa.sources import shared
+
+    df = shared.keep(spark.range(5), "five")
+    assert df.count() == 5 and shared.release(spark) > 0 and shared.release(spark) == 0
+    conf = spark.sparkContext.getConf()
+    monkeypatch.setattr(type(spark.sparkContext), "getConf", lambda self: conf.set("spark.master", "spark://host:7077"))
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(RuntimeError):
+            shared.folder(spark)
+    monkeypatch.undo()
+    assert os.path.isdir(shared.folder(spark)) or shared.folder(spark).startswith("file:")
