@@ -99,7 +99,7 @@ def test_optimiser_reaches_the_ridge_optimum():
     y = np.array([float("alfa" in p) for p in ps])
     names, w, b, often = A.train(ps, y, np.ones(400), rounds=400)
     m = A.Model(names, w, b)
-    assert ((np.array([m.document(p) for p in ps]) > 0.5) == (y > 0.5)).mean() > 0.97 and often.max() <= 400
+    assert ((np.array([m.document(p) for p in ps]) > 0.5) == (y > 0.5)).mean() > 0.97 and often.sum() > 400
 
 
 @pytest.mark.parametrize("t,bad", [("You are a stupid idiot", True), ("Los tolmecos son unos animales", True), ("Te voy a partir la cara si vuelves", True), ("\u0435res un idi\u043eta", True), ("i.d.i.o.t.a, eres un p.e.n.d.e.j.o", True),
@@ -126,3 +126,8 @@ def test_votes_by_count():
 def test_all_sentences_of_a_labelled_text():
     assert A._known([("Hola a todos. Buen día.", False)]) == [("hola a todos.", 0.0), ("buen dia.", 0.0)]
     assert A._known([("Hola a todos. Eres un idiota.", True)]) == [("hola a todos.", -1.0), ("eres un idiota.", 1.0)]
+
+
+def test_hints_miss_no_disguise():
+    texts = [["eres un i.d.i.o.t.a"], ["1d10ta"], ["pen*dejo"], ["nooo"], ["nada que ver", "sin mas"], []]
+    assert A.undisguise(texts) == [[A.undisguised(p) for p in ps if A.disguises(p)] for ps in texts]
