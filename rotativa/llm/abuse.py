@@ -88,7 +88,7 @@ def disguises(t: str) -> bool:
 
 
 #: What every disguised spelling has, for a reader that is fast and sees many texts at once.
-_HINTS = r"[a-z][0-9@$]|[0-9@$][a-z]|\*|[a-z][.*_\- ]{1,2}[a-z][.*_\- ]{1,2}[a-z][.*_\- ]|" + "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
+_HINTS = r"[a-z][0-9@$]|[0-9@$][a-z]|\*|(?:^|[^a-z])[a-z][.*_\- ]{1,2}[a-z][.*_\- ]{1,2}[a-z][.*_\- ]|" + "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
 
 
 def undisguise(texts: Sequence[list[str]]) -> list[list[str]]:
@@ -300,10 +300,9 @@ def features(passages: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     n = len(passages)
     found = _WORDS.findall("\n".join(p.replace("\n", " ") for p in passages))
     h = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
-    h = h[h != 1]
-    end = h == 0
-    row = np.cumsum(end)[~end]
-    h = h[~end]
+    row = np.cumsum(h == 0, dtype=np.int32)
+    words = h > 1
+    row, h = row[words], h[words]
     pair = row[1:] == row[:-1]
     both = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))[pair]
     row = np.concatenate([row, row[1:][pair]])
