@@ -86,4 +86,4 @@ def slug_title(url: Column | str) -> Column:
     """A readable title from the last path segment of an address."""
     last = F.regexp_extract(F.regexp_replace(_col(url), r"[?#].*$", ""), r"/([^/]+)/?$", 1)
     words = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(last, r"\.\w{2,5}$", ""), r"[-_]+", " "), r"(^| )\d{3,}( |$)", " "))
-    return F.when(F.length(words) > 0, F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 10_000)))
+    return F.when(F.length(words) > 0, F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, F.lit(2), F.length(words))))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity
+from ..sources.shared import keep
 
 #: Title similarity of a probable and of a weak match, and the days titles may lie apart.
 PROBABLE, WEAK, DAYS = 0.85, 0.60, 3
@@ -56,8 +57,7 @@ def greedy_clusters(df: DataFrame, group: list[str], title: str, order: str, lea
     """The rows with ``cluster``: each joins the first cluster of its group whose first title is similar enough.
 
     Depends on the order within a group, which must have no ties.  Equal titles
-    are merged before; a group's distinct titles go through one task in order,
-    in batches of a stream, with only the clusters' first titles kept.
+    are merged before; a group's distinct titles go through one task in order.
     """
     kept = [*group, title]
     types = dict(df.dtypes)
@@ -101,26 +101,23 @@ def _similar(a: str, b: str, least: float) -> bool:
     return row[-1] <= most
 
 
-def exclusive_matches(pairs: DataFrame, block: str) -> DataFrame:
+def exclusive_matches(pairs: DataFrame) -> DataFrame:
     """(a_id, b_id, score): pairs taken from the best score down, each side used once.
 
-    Within a block - an outlet's few days - the order of scores decides; blocks
-    are independent.
+    A pair that is the best left for both its sides is taken whatever the order
+    of the others, so a round takes all of these at once and drops what their
+    sides stand in; rounds end when no pair is left.  Ties go to the lesser ids.
     """
-    types = dict(pairs.dtypes)
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "a_id", "b_id"], ascending=[False, True, True], kind="stable")
-        used_a, used_b, keep = set(), set(), []
-        for a, b in zip(pdf["a_id"], pdf["b_id"]):
-            ok = a not in used_a and b not in used_b
-            keep.append(ok)
-            if ok:
-                used_a.add(a)
-                used_b.add(b)
-        return pdf.loc[keep, ["a_id", "b_id", "score"]]
-
-    return pairs.groupBy(block).applyInPandas(take, f"a_id {types['a_id']}, b_id {types['b_id']}, score double")
+    left = keep(pairs.groupBy("a_id", "b_id").agg(F.max("score").alias("score")), "pairs")
+    taken = None
+    best = F.min_by(F.struct("a_id", "b_id", "score"), F.struct(-F.col("score"), "a_id", "b_id"))
+    while not left.isEmpty():
+        a = left.groupBy("a_id").agg(best.alias("m")).select("m.*")
+        b = left.groupBy("b_id").agg(best.alias("m")).select("m.*")
+        now = keep(a.join(b.select("a_id", "b_id"), ["a_id", "b_id"], "left_semi"), "taken")
+        taken = now if taken is None else taken.unionByName(now)
+        left = keep(left.join(now.select("a_id"), "a_id", "left_anti").join(now.select("b_id"), "b_id", "left_anti"), "pairs")
+    return left if taken is None else taken
 
 
 def longest_prefix(urls: DataFrame, sources: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def resolve_indexes(items: DataFrame, roots: DataFrame, depth: int = 2, budget:
     return seen.where("NOT is_index").select("root", "url", "fecha", "nivel")
 
 
-def same_entity(records: DataFrame, key: str, shared: Sequence[str], rounds: int = 20) -> DataFrame:
+def same_entity(records: DataFrame, key: str, shared: Sequence[str]) -> DataFrame:
     """(key, entidad): records that share a value of any of the columns are one entity, named by its least key.
 
     Each round a record takes the least name among those it shares a value
@@ -46,7 +46,8 @@ def same_entity(records: DataFrame, key: str, shared: Sequence[str], rounds: int
         "links",
     )
     name = keep(records.select(F.col(key).alias("k")).where("k IS NOT NULL").distinct().withColumn("n", F.col("k")), "names")
-    for _ in range(rounds):
+    changed = True
+    while changed:
         by_value = links.join(name, "k").groupBy("v").agg(F.min("n").alias("m"))
         least = links.join(by_value, "v").groupBy("k").agg(F.min("m").alias("m"))
         step = name.join(least, "k", "left").select("k", F.least("n", F.coalesce("m", "n")).alias("n"), F.col("n").alias("was"))
@@ -54,8 +55,6 @@ def same_entity(records: DataFrame, key: str, shared: Sequence[str], rounds: int
         new = keep(step.join(jump, "n", "left").select("k", F.least("n", F.coalesce("far", "n")).alias("n"), "was"), "names")
         changed = not new.where("n != was").isEmpty()
         name = new.select("k", "n")
-        if not changed:
-            break
     return name.select(F.col("k").alias(key), F.col("n").alias("entidad"))
 
 

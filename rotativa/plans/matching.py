@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, fold_words, snippet
 from ..operators import rules as R
 from ..operators.keys import first_by
+from ..operators.packed import explode_packed
 from ..sources.tables import table
 from .text import _fold, _words
 
@@ -24,12 +27,13 @@ MAIN = ("agua", "comision", "contrato")
 
 
 def _notes(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "noticias").select("noticia_id", *FIELDS).distinct()
+    # repeats fall away with the results: texts themselves are never compared or shuffled
+    return table(spark, folder, "noticias").select("noticia_id", *FIELDS)
 
 
 def rule_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Every note a rule holds for, with its best field."""
-    return R.matches(_notes(spark, folder), RULES, FIELDS, "noticia_id")
+    return R.matches(_notes(spark, folder), RULES, FIELDS, "noticia_id").distinct()
 
 
 def mentions_by_rule(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,28 +43,28 @@ def mentions_by_rule(spark: SparkSession, folder: str) -> DataFrame:
 
 def title_lane(spark: SparkSession, folder: str) -> DataFrame:
     """Matches in title and summary alone."""
-    return R.matches(_notes(spark, folder), [r for r in RULES if r.kind == "exacta"], FIELDS[:2], "noticia_id")
+    return R.matches(_notes(spark, folder), [r for r in RULES if r.kind == "exacta"], FIELDS[:2], "noticia_id").distinct()
 
 
 def first_hit(spark: SparkSession, folder: str) -> DataFrame:
     """Position and surroundings of the first whole-word hit in the text."""
     n = _notes(spark, folder).withColumn("t", fold("texto_extraido"))
     at = F.regexp_instr("t", F.lit(R.word_pattern("contrato")))
-    return n.withColumn("posicion", at).where("posicion > 0").select("noticia_id", "posicion", snippet(F.col("texto_extraido"), F.col("posicion"), 30).alias("fragmento"))
+    return n.withColumn("posicion", at).where("posicion > 0").select("noticia_id", "posicion", snippet(F.col("texto_extraido"), F.col("posicion"), 30).alias("fragmento")).distinct()
 
 
 def proximity(spark: SparkSession, folder: str) -> DataFrame:
     """Notes with an anchor word within 120 characters of a context word, in the folded words."""
     n = _notes(spark, folder).withColumn("t", fold_words("texto_extraido"))
     a, b = R.positions(F.col("t"), ["agua", "bebidas"]), R.positions(F.col("t"), ["impuesto", "comision"])
-    return n.select("noticia_id", F.size(a).alias("anclas"), F.size(b).alias("contextos"), R.near(a, b, 120).alias("cerca")).where("cerca")
+    return n.select("noticia_id", F.size(a).alias("anclas"), F.size(b).alias("contextos"), R.near(a, b, 120).alias("cerca")).where("cerca").distinct()
 
 
 def hit_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Merged windows of 200 characters around the hits of a word."""
     n = _notes(spark, folder).withColumn("t", fold_words("texto_extraido")).withColumn("p", R.positions(F.col("t"), ["agua", "aguas"]))
     w = n.where(F.size("p") > 0).withColumn("w", R.merged_windows(F.col("p"), 200, F.length("t")))
-    return w.select("noticia_id", F.size("w").alias("ventanas"), F.aggregate("w", F.lit(0), lambda acc, x: acc + x["e"] - x["s"] + 1).alias("caracteres"))
+    return w.select("noticia_id", F.size("w").alias("ventanas"), F.aggregate("w", F.lit(0), lambda acc, x: acc + x["e"] - x["s"] + 1).alias("caracteres")).distinct()
 
 
 def _mentions(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,13 +88,46 @@ def consolidated_mentions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def keyword_hits(spark: SparkSession, folder: str) -> DataFrame:
-    """Notes whose text has an active keyword as whole words: an equality on the keyword's first word, then the phrase."""
+    """Notes whose title, summary or text has an active keyword as whole words."""
     k = table(spark, folder, "keywords").where("activa").select("keyword_id", fold_words("keyword").alias("frase")).where("frase != ''").distinct()
-    k = k.withColumn("w", F.split("frase", " ")[0])
-    n = _notes(spark, folder).select("noticia_id", fold_words(F.concat_ws(" ", "titulo", "resumen")).alias("t"))
-    words = n.select("noticia_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
-    hit = words.join(k, "w").where(F.contains(F.concat(F.lit(" "), F.col("t"), F.lit(" ")), F.concat(F.lit(" "), F.col("frase"), F.lit(" "))))
-    return hit.groupBy("keyword_id").agg(F.count_distinct("noticia_id").alias("notas"))
+    frases = k.select("frase").distinct().withColumn("frase_id", F.col("frase"))
+    hit = R.phrase_hits(_notes(spark, folder), frases, FIELDS, "noticia_id").select("noticia_id", F.col("frase_id").alias("frase")).distinct()
+    return hit.join(k, "frase").groupBy("keyword_id").agg(F.count_distinct("noticia_id").alias("notas"))
+
+
+def keyword_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """Notes with a keyword of the table or one of its aliases, its best field, and no excluded context; an asked context must be there.
+
+    Cells with several values are split as in problem 5.  All kinds of keywords
+    are looked for as whole words.
+    """
+    k = table(spark, folder, "keywords").where("activa")
+    cells = [k.select("keyword_id", F.lit("si").alias("rol"), F.col("keyword").alias("frase"))]
+    for field, role in (("alias_o_variantes", "si"), ("contexto_excluir", "no"), ("contexto_incluir", "con")):
+        cells.append(explode_packed(k, "keyword_id", field).select(F.col("clave").alias("keyword_id"), F.lit(role).alias("rol"), F.col("valor").alias("frase")))
+    asked = reduce(DataFrame.unionByName, cells).withColumn("frase", fold_words("frase")).where("frase != ''").distinct()
+    hit = R.phrase_hits(_notes(spark, folder), asked.select("frase").distinct().withColumn("frase_id", F.col("frase")), FIELDS, "noticia_id")
+    weight = F.create_map(*(F.lit(x) for f in FIELDS for x in (f, R.WEIGHTS[f])))
+    per = hit.withColumnRenamed("frase_id", "frase").join(asked, "frase").groupBy("noticia_id", "keyword_id").agg(
+        F.max(F.when(F.col("rol") == "si", F.struct(F.element_at(weight, F.col("campo")).alias("score"), F.lit(0) - F.length("campo"), "campo"))).alias("m"),
+        F.bool_or(F.col("rol") == "no").alias("malo"), F.bool_or(F.col("rol") == "con").alias("con"), F.sum(F.when(F.col("rol") == "si", F.col("veces"))).alias("veces"),
+    )
+    needs = asked.where("rol = 'con'").select("keyword_id", F.lit(True).alias("pide")).distinct()
+    good = per.where("m IS NOT NULL AND NOT malo").join(needs, "keyword_id", "left").where("con OR pide IS NULL")
+    return good.select("noticia_id", "keyword_id", "m.campo", "m.score", "veces")
+
+
+def lake_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 newest notes of a window of days that have a term in any of five columns."""
+    n = table(spark, folder, "noticias").where((F.col("created_at") >= F.lit("2025-10-01").cast("timestamp")) & (F.col("created_at") < F.lit("2026-06-01").cast("timestamp")))
+    hit = reduce(Column.__or__, (F.coalesce(F.contains(F.lower(c), F.lit("agua")), F.lit(False)) for c in ("titulo", "resumen", "texto_extraido", "seccion", "medio")))
+    return n.where(hit).select("noticia_id", "created_at").distinct().orderBy(F.desc("created_at"), "noticia_id").limit(50).select("noticia_id")
+
+
+def retrieval_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct folded keywords of three letters or more with their longest spelling."""
+    k = table(spark, folder, "keywords").select(fold_words("keyword").alias("termino"), F.trim("keyword").alias("k")).where("length(termino) >= 3")
+    return k.groupBy("termino").agg(F.max_by("k", F.struct(F.length("k"), "k")).alias("forma"), F.count("*").alias("filas"))
 
 
 def mention_details(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,7 +162,7 @@ def active_scope(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_matches, mentions_by_rule, title_lane, first_hit, proximity, hit_windows, mention_counts, consolidated_mentions, keyword_hits, mention_details,
+        rule_matches, mentions_by_rule, title_lane, first_hit, proximity, hit_windows, mention_counts, consolidated_mentions, keyword_hits, keyword_mentions, lake_search, retrieval_terms, mention_details,
         notes_without_mentions, notes_with_alerts, active_scope,
     )
 }
@@ -174,8 +211,12 @@ SQL = {
   WHERE EXISTS (SELECT 1 FROM a JOIN b USING (noticia_id) WHERE a.noticia_id = x.noticia_id AND abs(a.at - b.at) <= 120)""",
     "mention_counts": "SELECT cliente_id, count(*) AS menciones, count(DISTINCT noticia_id) AS notas, count(DISTINCT keyword_id) AS keywords FROM (SELECT DISTINCT noticia_id, keyword_id, cliente_id FROM menciones WHERE keyword_id IS NOT NULL) GROUP BY 1",
     "consolidated_mentions": f"SELECT cliente_id, noticia_id, arg_max(mencion_id, (score_relevancia, mencion_id)) AS mejor, round(max(score_relevancia), 4) AS score, coalesce(string_agg(DISTINCT keyword, '|' ORDER BY keyword), '') AS keywords, count(DISTINCT mencion_id) AS menciones, coalesce(bool_or(requiere_alerta), false) AS alerta FROM {_M} GROUP BY 1, 2",
-    "keyword_hits": f"""WITH k AS (SELECT DISTINCT keyword_id, {_words('keyword')} AS frase FROM keywords WHERE activa), n AS (SELECT DISTINCT noticia_id, ' ' || {_words("'' || concat_ws(' ', titulo, resumen)")} || ' ' AS t FROM noticias)
-  SELECT keyword_id, count(DISTINCT noticia_id) AS notas FROM k JOIN n ON frase <> '' AND contains(t, ' ' || frase || ' ') GROUP BY 1""",
+    "keyword_hits": f"""WITH k AS (SELECT DISTINCT keyword_id, {_words('keyword')} AS frase FROM keywords WHERE activa),
+  f AS (SELECT DISTINCT noticia_id, unnest([' ' || {_words('titulo')} || ' ', ' ' || {_words('resumen')} || ' ', ' ' || {_words('texto_extraido')} || ' ']) AS t FROM noticias)
+  SELECT keyword_id, count(DISTINCT noticia_id) AS notas FROM k JOIN f ON frase <> '' AND contains(t, ' ' || frase || ' ') GROUP BY 1""",
+    "lake_search": """SELECT noticia_id FROM (SELECT DISTINCT noticia_id, created_at FROM noticias WHERE created_at >= TIMESTAMP '2025-10-01' AND created_at < TIMESTAMP '2026-06-01'
+  AND (titulo ILIKE '%agua%' OR resumen ILIKE '%agua%' OR texto_extraido ILIKE '%agua%' OR seccion ILIKE '%agua%' OR medio ILIKE '%agua%')) ORDER BY created_at DESC, noticia_id LIMIT 50""",
+    "retrieval_terms": f"SELECT w AS termino, arg_max(k, (length(k), k)) AS forma, count(*) AS filas FROM (SELECT {_words('keyword')} AS w, trim(keyword) AS k FROM keywords) WHERE length(w) >= 3 GROUP BY 1",
     "mention_details": f"SELECT nombre_medio, industria, count(DISTINCT mencion_id) AS menciones FROM {_M} m JOIN (SELECT DISTINCT noticia_id, medio_id FROM noticias) n USING (noticia_id) LEFT JOIN medios o USING (medio_id) LEFT JOIN clientes c ON m.cliente_id = c.cliente_id GROUP BY 1, 2",
     "notes_without_mentions": "SELECT medio_id, count(*) AS notas FROM (SELECT DISTINCT noticia_id, medio_id FROM noticias) n WHERE NOT EXISTS (SELECT 1 FROM menciones m WHERE m.noticia_id = n.noticia_id) GROUP BY 1",
     "notes_with_alerts": "SELECT noticia_id, medio_id FROM (SELECT DISTINCT noticia_id, medio_id FROM noticias) n WHERE EXISTS (SELECT 1 FROM menciones m WHERE m.noticia_id = n.noticia_id AND requiere_alerta)",

@@ -19,15 +19,15 @@ def _n(spark: SparkSession, folder: str, *cols: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    n = _n(spark, folder, "noticia_id", "estado", "titulo", "url_original", "created_at", "fuente_metodo").select(
-        F.col("noticia_id").alias("id"), url.canonical("url_original").alias("url_key"), F.col("estado").alias("outlet"), F.to_date("created_at").alias("day"), ascii_key("titulo").alias("title"),
+    n = _n(spark, folder, "noticia_id", "medio_id", "medio", "titulo", "url_original", "created_at", "fuente_metodo").select(
+        F.col("noticia_id").alias("id"), url.canonical("url_original").alias("url_key"), F.coalesce(F.nullif(ascii_key("medio"), F.lit("")), F.lower("medio_id")).alias("outlet"), F.to_date("created_at").alias("day"), ascii_key("titulo").alias("title"),
         F.conv(F.substring(F.sha2("noticia_id", 256), 1, 12), 16, 10).cast("long").alias("ord"), "fuente_metodo",
     )
     return n.where("fuente_metodo = 'rss'").drop("fuente_metodo"), n.where("fuente_metodo != 'rss'").drop("fuente_metodo")
 
 
 def fuzzy_compare(spark: SparkSession, folder: str) -> DataFrame:
-    """Notes of feeds reconciled with all others by address, and by title within a state."""
+    """Notes of feeds reconciled with all others by address, and by title within an outlet."""
     a, b = _sides(spark, folder)
     r = compare.reconcile(a, b, compare.best_match(compare.candidates(a, b)))
     return r.select("a_id", "b_id", "estado", F.round("score", 6).alias("score"))
@@ -42,17 +42,17 @@ def compare_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def editorial_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """Greedy clusters of similar titles within state and day."""
+    """Greedy clusters of similar titles within keyword and day."""
     a, b = _sides(spark, folder)
-    n = a.unionByName(b).where("title IS NOT NULL AND day IS NOT NULL").select("id", "outlet", "day", "title", "ord")
-    return compare.greedy_clusters(n, ["outlet", "day"], "title", "ord")
+    k = table(spark, folder, "menciones").where("keyword_id IS NOT NULL").select(F.col("noticia_id").alias("id"), "keyword_id").distinct()
+    n = a.unionByName(b).where("title IS NOT NULL AND day IS NOT NULL").select("id", "day", "title", "ord").join(k, "id")
+    return compare.greedy_clusters(n.select("id", "keyword_id", "day", "title", "ord"), ["keyword_id", "day"], "title", "ord")
 
 
 def exclusive_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of feeds and others by title, each note used once, best scores first."""
+    """Pairs of feeds and others by address or title, each note used once, best scores first."""
     a, b = _sides(spark, folder)
-    pairs = compare.candidates(a, b).where("tier < 3").join(a.select(F.col("id").alias("a_id"), "outlet"), "a_id")
-    return compare.exclusive_matches(pairs.select("a_id", "b_id", "score", "outlet"), "outlet")
+    return compare.exclusive_matches(compare.candidates(a, b).select("a_id", "b_id", "score"))
 
 
 def host_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,7 +95,7 @@ def route_integrity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def day_client_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    """Mentions, alerts, keywords and scores by client over days, with the share of days that had any."""
+    """Mentions, alerts, keywords and scores by client over days."""
     m = table(spark, folder, "menciones").distinct().withColumn("dia", F.to_date("created_at"))
     per = m.groupBy("cliente_id", "dia").agg(F.count_distinct("mencion_id").alias("n"), F.count_if("requiere_alerta").alias("a"), F.max("score_relevancia").alias("s"))
     keywords = m.groupBy("cliente_id").agg(F.count_distinct("keyword_id").alias("keywords"))
@@ -124,10 +124,10 @@ def extraction_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clone_bodies(spark: SparkSession, folder: str) -> DataFrame:
-    """Bodies whose first 400 characters stand under three titles or more."""
-    n = _n(spark, folder, "noticia_id", "titulo", "texto_cuerpo_nota").where("length(trim(texto_cuerpo_nota)) >= 80")
-    g = n.groupBy(F.sha2(F.substring(F.trim("texto_cuerpo_nota"), 1, 400), 256).alias("cuerpo"))
-    return g.agg(F.count_distinct(fold("titulo")).alias("titulos"), F.count_distinct("noticia_id").alias("notas")).where("titulos >= 2")
+    """Notes of bodies whose first 400 characters stand under three titles or more."""
+    n = _n(spark, folder, "noticia_id", "titulo", "texto_cuerpo_nota").where("length(trim(texto_cuerpo_nota)) >= 80").select("noticia_id", fold("titulo").alias("titulo"), F.sha2(F.substring(F.trim("texto_cuerpo_nota"), 1, 400), 256).alias("cuerpo"))
+    many = n.groupBy("cuerpo").agg(F.count_distinct("titulo").alias("titulos"), F.count_distinct("noticia_id").alias("notas")).where("titulos >= 3")
+    return n.join(many, "cuerpo").select("noticia_id", "cuerpo", "titulos", "notas").distinct()
 
 
 def score_cohorts(spark: SparkSession, folder: str) -> DataFrame:
@@ -331,7 +331,7 @@ QUERIES = {
 }
 
 _D = "SELECT DISTINCT "
-_S = f"""n AS (SELECT DISTINCT noticia_id AS id, {_CANON} AS url_key, estado AS outlet, CAST(created_at AS DATE) AS day, {_ascii('titulo')} AS title, CAST('0x' || substr(sha256(noticia_id), 1, 12) AS BIGINT) AS ord, fuente_metodo FROM noticias),
+_S = f"""n AS (SELECT DISTINCT noticia_id AS id, {_CANON} AS url_key, coalesce(nullif({_ascii('medio')}, ''), lower(medio_id)) AS outlet, CAST(created_at AS DATE) AS day, {_ascii('titulo')} AS title, CAST('0x' || substr(sha256(noticia_id), 1, 12) AS BIGINT) AS ord, fuente_metodo FROM noticias),
 a AS (SELECT * FROM n WHERE fuente_metodo = 'rss'), b AS (SELECT * FROM n WHERE fuente_metodo <> 'rss'),
 c AS (SELECT a.id AS a_id, b.id AS b_id, b.ord, 3 AS tier, 1.0::DOUBLE AS score FROM a JOIN b USING (url_key) UNION ALL
   SELECT a_id, b_id, ord, CASE WHEN score >= 0.85 THEN 2 ELSE 1 END, score FROM (SELECT a.id AS a_id, b.id AS b_id, b.ord, CASE WHEN greatest(length(a.title), length(b.title)) = 0 THEN 1.0 WHEN least(length(a.title), length(b.title)) = 0 THEN 0.0 ELSE 1 - levenshtein(a.title, b.title) / greatest(length(a.title), length(b.title)) END AS score
@@ -364,7 +364,8 @@ SQL = {
     "extraction_quality": """SELECT *, CASE WHEN vacias >= 60 THEN 'vacia' WHEN c1200 >= 70 AND mediana >= 1200 THEN 'excelente' WHEN c600 >= 70 AND mediana >= 600 THEN 'buena' WHEN c600 >= 40 THEN 'regular' ELSE 'mala' END AS clase FROM (
   SELECT medio_id, count(*) AS notas, round(count_if(c = 0) * 100 / count(*), 1) AS vacias, round(count_if(c >= 600) * 100 / count(*), 1) AS c600, round(count_if(c >= 1200) * 100 / count(*), 1) AS c1200, round(avg(c), 2) AS media, median(c) AS mediana
   FROM (SELECT DISTINCT noticia_id, medio_id, texto_nota_limpia, length(coalesce(trim(texto_nota_limpia), '')) AS c FROM noticias) GROUP BY 1)""",
-    "clone_bodies": f"SELECT sha256(substr(trim(texto_cuerpo_nota), 1, 400)) AS cuerpo, count(DISTINCT {_fold('titulo')}) AS titulos, count(DISTINCT noticia_id) AS notas FROM noticias WHERE length(trim(texto_cuerpo_nota)) >= 80 GROUP BY 1 HAVING count(DISTINCT {_fold('titulo')}) >= 2",
+    "clone_bodies": f"""WITH n AS (SELECT DISTINCT noticia_id, {_fold('titulo')} AS titulo, sha256(substr(trim(texto_cuerpo_nota), 1, 400)) AS cuerpo FROM noticias WHERE length(trim(texto_cuerpo_nota)) >= 80)
+  SELECT DISTINCT noticia_id, cuerpo, titulos, notas FROM n JOIN (SELECT cuerpo, count(DISTINCT titulo) AS titulos, count(DISTINCT noticia_id) AS notas FROM n GROUP BY 1 HAVING count(DISTINCT titulo) >= 3) USING (cuerpo)""",
     "score_cohorts": """SELECT tema, sentimiento, grouping(sentimiento) = 1 AS todos, count(*) AS filas, count_if(score_relevancia IS NULL) AS nulos, round(avg(score_relevancia), 6) AS media, round(quantile_cont(score_relevancia, 0.1), 6) AS p10, round(quantile_cont(score_relevancia, 0.5), 6) AS p50, round(quantile_cont(score_relevancia, 0.9), 6) AS p90
   FROM (SELECT DISTINCT mencion_id, tema, sentimiento, score_relevancia FROM menciones) GROUP BY GROUPING SETS ((tema), (tema, sentimiento))""",
     "threshold_sweep": """WITH g AS (SELECT round(score_relevancia, 4) AS umbral, count_if(requiere_alerta) AS p, count(*) AS n FROM (SELECT DISTINCT mencion_id, score_relevancia, requiere_alerta FROM menciones WHERE score_relevancia IS NOT NULL AND requiere_alerta IS NOT NULL) GROUP BY 1)

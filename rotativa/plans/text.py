@@ -118,10 +118,10 @@ def backoff_schedule(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_search(spark: SparkSession, folder: str) -> DataFrame:
     """Notes with all of some words, none of others, or a phrase, in title, summary or text."""
-    n = _notes(spark, folder, "noticia_id", "titulo", "resumen", "texto_extraido")
+    n = table(spark, folder, "noticias").select("noticia_id", "titulo", "resumen", "texto_extraido")
     t = F.concat(F.lit(" "), text.fold_words(F.concat_ws(" ", "titulo", "resumen", "texto_extraido")), F.lit(" "))
     hit = lambda w: F.contains(t, F.lit(f" {w} "))
-    return n.select("noticia_id", (hit("agua") & hit("comision") & ~hit("dengue")).alias("palabras"), hit("plazo de la investigacion").alias("frase")).where("palabras OR frase")
+    return n.select("noticia_id", (hit("agua") & hit("comision") & ~hit("dengue")).alias("palabras"), hit("plazo de la investigacion").alias("frase")).where("palabras OR frase").distinct()
 
 
 QUERIES = {

@@ -99,7 +99,7 @@ def test_candidates_and_matches(spark):
                 want.add((x[0], y[0], 2 if s >= 0.85 else 1))
     assert got == want
     pairs = compare.candidates(a, b).join(a.selectExpr("id AS a_id", "outlet"), "a_id")
-    ex = compare.exclusive_matches(pairs, "outlet").collect()
+    ex = compare.exclusive_matches(pairs).collect()
     assert len({r.a_id for r in ex}) == len(ex)
 
 
@@ -175,3 +175,24 @@ def test_shared_folder(spark, monkeypatch, tmp_path):
             shared.folder(spark)
     monkeypatch.undo()
     assert os.path.isdir(shared.folder(spark)) or shared.folder(spark).startswith("file:")
+
+
+def test_exclusive_matches_equal_greedy(spark):
+    import random
+
+    from rotativa.operators import compare
+
+    rnd = random.Random(9)
+    pairs = [(f"a{rnd.randrange(30)}", f"b{rnd.randrange(30)}", round(rnd.random(), 1)) for _ in range(200)]
+    best = {}
+    for a, b, s in pairs:
+        best[a, b] = max(best.get((a, b), 0), s)
+    want, ua, ub = set(), set(), set()
+    for (a, b), s in sorted(best.items(), key=lambda x: (-x[1], x[0])):
+        if a not in ua and b not in ub:
+            want.add((a, b, s))
+            ua.add(a)
+            ub.add(b)
+    df = spark.createDataFrame(pairs, "a_id string, b_id string, score double")
+    assert {tuple(r) for r in compare.exclusive_matches(df).collect()} == want
+    assert compare.exclusive_matches(df.where("false")).count() == 0
