@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matching, packed, streams, tables, text
+from . import lake, matching, packed, streams, tables, text
 
-_MODULES = (matching, packed, streams, tables, text)
+_MODULES = (lake, matching, packed, streams, tables, text)
 FLAGSHIP = matching.mentions_by_rule
 
 
