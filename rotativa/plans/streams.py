@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import queue
+from ..sources.shared import folder as shared_folder
 from ..sources.tables import table
-from ..streaming.streams import first_seen, run_to_end, sessions, stream_table, window_counts
+from ..streaming.streams import new_only, run_to_end, sessions, stream_table, window_counts
 
 
 def stream_window_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,9 +20,15 @@ def stream_window_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_first_seen(spark: SparkSession, folder: str) -> DataFrame:
-    """Log rows by source after dropping repeats from the stream."""
-    s = first_seen(stream_table(spark, folder, "logs_ingesta"), ["log_id"], "llegada", "400 days")
-    return run_to_end(s).groupBy("medio_id").agg(F.count("*").alias("filas"))
+    """Log rows by source after dropping repeats from the stream.
+
+    Every batch adds the rows whose key the sink hasn't, however late they come; no key is held as state.
+    """
+    sink = f"{shared_folder(spark)}/seen-{uuid.uuid4().hex}"
+    stream = stream_table(spark, folder, "logs_ingesta")
+    spark.createDataFrame([], stream.schema).write.parquet(sink)
+    run_to_end(stream, step=lambda batch, _: new_only(batch.where("llegada IS NOT NULL"), spark.read.schema(stream.schema).parquet(sink), ["log_id"]).write.mode("append").parquet(sink))
+    return spark.read.schema(stream.schema).parquet(sink).groupBy("medio_id").agg(F.count("*").alias("filas"))
 
 
 def user_sessions(spark: SparkSession, folder: str) -> DataFrame:

@@ -134,8 +134,8 @@ def score_cohorts(spark: SparkSession, folder: str) -> DataFrame:
     """Score statistics by topic, and by topic and sentiment, in one pass."""
     m = table(spark, folder, "menciones").select("mencion_id", "tema", "sentimiento", "score_relevancia").distinct()
     m.createOrReplaceTempView("__score_cohorts")
-    return spark.sql("""SELECT tema, sentimiento, grouping(sentimiento) = 1 AS todos, count(*) AS filas, count_if(score_relevancia IS NULL) AS nulos, round(avg(score_relevancia), 6) AS media,
-      round(percentile(score_relevancia, 0.1), 6) AS p10, round(percentile(score_relevancia, 0.5), 6) AS p50, round(percentile(score_relevancia, 0.9), 6) AS p90
+    return spark.sql("""SELECT tema, sentimiento, grouping(sentimiento) = 1 AS todos, count(*) AS filas, count_if(score_relevancia IS NULL) AS nulos, round(avg(score_relevancia), 6) AS media, round(min(score_relevancia), 6) AS menor, round(max(score_relevancia), 6) AS mayor,
+      round(percentile(score_relevancia, 0.25), 6) AS p25, round(percentile(score_relevancia, 0.75), 6) AS p75, round(percentile(score_relevancia, 0.1), 6) AS p10, round(percentile(score_relevancia, 0.5), 6) AS p50, round(percentile(score_relevancia, 0.9), 6) AS p90
       FROM __score_cohorts GROUP BY GROUPING SETS ((tema), (tema, sentimiento))""")
 
 
@@ -147,7 +147,11 @@ def threshold_sweep(spark: SparkSession, folder: str) -> DataFrame:
     above = Window.orderBy(F.desc("umbral")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     all_rows = Window.partitionBy(F.lit(1))
     tp, taken = F.sum("p").over(above), F.sum("n").over(above)
-    return g.select("umbral", tp.alias("vp"), (taken - tp).alias("fp"), (F.sum("p").over(all_rows) - tp).alias("fn"), F.round(tp / taken, 6).alias("precision"))
+    pos, rows = F.sum("p").over(all_rows), F.sum("n").over(all_rows)
+    fp, fn = taken - tp, pos - tp
+    tn = rows - taken - fn
+    recall, spared = tp / F.nullif(pos, F.lit(0)), tn / F.nullif(rows - pos, F.lit(0))
+    return g.select("umbral", tp.alias("vp"), fp.alias("fp"), fn.alias("fn"), tn.alias("vn"), F.round(tp / taken, 6).alias("precision"), F.round(recall, 6).alias("exhaustividad"), F.round((recall + spared) / 2, 6).alias("exactitud_media"))
 
 
 def label_resolution(spark: SparkSession, folder: str) -> DataFrame:
@@ -209,9 +213,16 @@ def fair_queue(spark: SparkSession, folder: str, limit: int = 200, share: float
 
 
 def round_robin(spark: SparkSession, folder: str) -> DataFrame:
-    """Pass number of each unprocessed note when every source gives one note a pass."""
-    n = _n(spark, folder, "noticia_id", "medio_id", "created_at", "menciones_procesado").where("NOT menciones_procesado")
-    return compare.rank_within(n, ["medio_id"], F.col("created_at"), F.col("noticia_id")).select("noticia_id", "medio_id", F.col("n").alias("vuelta"))
+    """Pass number of each unprocessed note when every source gives one note a pass.
+
+    A source is ranked day by day, with the notes of earlier days as offset, so that no source has to fit in one task.
+    """
+    n = _n(spark, folder, "noticia_id", "medio_id", "created_at", "menciones_procesado").where("NOT menciones_procesado").withColumn("d", F.to_date("created_at"))
+    days = n.groupBy("medio_id", "d").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("medio_id").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(F.col("medio_id").alias("m"), F.col("d").alias("dd"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("antes"))
+    ranked = compare.rank_within(n, ["medio_id", "d"], F.col("created_at"), F.col("noticia_id"))
+    return ranked.join(days, F.col("medio_id").eqNullSafe(F.col("m")) & F.col("d").eqNullSafe(F.col("dd"))).select("noticia_id", "medio_id", (F.col("n") + F.col("antes")).alias("vuelta"))
 
 
 def top_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -366,10 +377,11 @@ SQL = {
   FROM (SELECT DISTINCT noticia_id, medio_id, texto_nota_limpia, length(coalesce(trim(texto_nota_limpia), '')) AS c FROM noticias) GROUP BY 1)""",
     "clone_bodies": f"""WITH n AS (SELECT DISTINCT noticia_id, {_fold('titulo')} AS titulo, sha256(substr(trim(texto_cuerpo_nota), 1, 400)) AS cuerpo FROM noticias WHERE length(trim(texto_cuerpo_nota)) >= 80)
   SELECT DISTINCT noticia_id, cuerpo, titulos, notas FROM n JOIN (SELECT cuerpo, count(DISTINCT titulo) AS titulos, count(DISTINCT noticia_id) AS notas FROM n GROUP BY 1 HAVING count(DISTINCT titulo) >= 3) USING (cuerpo)""",
-    "score_cohorts": """SELECT tema, sentimiento, grouping(sentimiento) = 1 AS todos, count(*) AS filas, count_if(score_relevancia IS NULL) AS nulos, round(avg(score_relevancia), 6) AS media, round(quantile_cont(score_relevancia, 0.1), 6) AS p10, round(quantile_cont(score_relevancia, 0.5), 6) AS p50, round(quantile_cont(score_relevancia, 0.9), 6) AS p90
+    "score_cohorts": """SELECT tema, sentimiento, grouping(sentimiento) = 1 AS todos, count(*) AS filas, count_if(score_relevancia IS NULL) AS nulos, round(avg(score_relevancia), 6) AS media, round(min(score_relevancia), 6) AS menor, round(max(score_relevancia), 6) AS mayor, round(quantile_cont(score_relevancia, 0.25), 6) AS p25, round(quantile_cont(score_relevancia, 0.75), 6) AS p75, round(quantile_cont(score_relevancia, 0.1), 6) AS p10, round(quantile_cont(score_relevancia, 0.5), 6) AS p50, round(quantile_cont(score_relevancia, 0.9), 6) AS p90
   FROM (SELECT DISTINCT mencion_id, tema, sentimiento, score_relevancia FROM menciones) GROUP BY GROUPING SETS ((tema), (tema, sentimiento))""",
     "threshold_sweep": """WITH g AS (SELECT round(score_relevancia, 4) AS umbral, count_if(requiere_alerta) AS p, count(*) AS n FROM (SELECT DISTINCT mencion_id, score_relevancia, requiere_alerta FROM menciones WHERE score_relevancia IS NOT NULL AND requiere_alerta IS NOT NULL) GROUP BY 1)
-  SELECT umbral, sum(p) OVER w AS vp, sum(n) OVER w - sum(p) OVER w AS fp, (SELECT sum(p) FROM g) - sum(p) OVER w AS fn, round(sum(p) OVER w / sum(n) OVER w, 6) AS precision FROM g WINDOW w AS (ORDER BY umbral DESC ROWS UNBOUNDED PRECEDING)""",
+  SELECT umbral, vp, n - vp AS fp, pos - vp AS fn, filas - n - pos + vp AS vn, round(vp / n, 6) AS precision, round(vp / nullif(pos, 0), 6) AS exhaustividad, round((vp / nullif(pos, 0) + (filas - n - pos + vp) / nullif(filas - pos, 0)) / 2, 6) AS exactitud_media
+  FROM (SELECT umbral, sum(p) OVER w AS vp, sum(n) OVER w AS n, (SELECT sum(p) FROM g) AS pos, (SELECT sum(n) FROM g) AS filas FROM g WINDOW w AS (ORDER BY umbral DESC ROWS UNBOUNDED PRECEDING))""",
     "label_resolution": "SELECT CASE WHEN k > 1 THEN 'conflicto' WHEN n > 1 THEN 'repetido' ELSE 'resuelto' END AS estado, count(*) AS notas FROM (SELECT noticia_id, count(DISTINCT sentimiento) AS k, count(DISTINCT mencion_id) AS n FROM menciones WHERE sentimiento IS NOT NULL GROUP BY 1) GROUP BY 1",
     "flood_gate": "SELECT dia, mayor, total, total >= 8 AND mayor > floor(total * 0.6) AS inunda FROM (SELECT dia, max(n) AS mayor, sum(n) AS total FROM (SELECT CAST(created_at AS DATE)::VARCHAR AS dia, cliente_id, count(DISTINCT mencion_id) AS n FROM menciones GROUP BY 1, 2) GROUP BY 1)",
     "log_evidence": "SELECT medio_id, accion, count_if(k > 1) AS ambiguas, count(*) AS ventanas FROM (SELECT medio_id, accion, date_trunc('hour', fecha_hora) AS h, count(DISTINCT (nivel, urls_detectadas, notas_nuevas)) AS k FROM (SELECT DISTINCT * FROM logs_ingesta) WHERE medio_id IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2",
