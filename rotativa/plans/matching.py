@@ -11,6 +11,7 @@ from ..functions.text import fold, fold_words, snippet
 from ..operators import rules as R
 from ..operators.keys import first_by
 from ..operators.packed import explode_packed
+from ..sources.shared import keep
 from ..sources.tables import table
 from .text import _fold, _words
 
@@ -91,8 +92,13 @@ def keyword_hits(spark: SparkSession, folder: str) -> DataFrame:
     """Notes whose title, summary or text has an active keyword as whole words."""
     k = table(spark, folder, "keywords").where("activa").select("keyword_id", fold_words("keyword").alias("frase")).where("frase != ''").distinct()
     frases = k.select("frase").distinct().withColumn("frase_id", F.col("frase"))
-    hit = R.phrase_hits(_notes(spark, folder), frases, FIELDS, "noticia_id").select("noticia_id", F.col("frase_id").alias("frase")).distinct()
-    return hit.join(k, "frase").groupBy("keyword_id").agg(F.count_distinct("noticia_id").alias("notas"))
+    hit = keep(R.phrase_hits(_notes(spark, folder), frases, FIELDS, "noticia_id").select("noticia_id", F.col("frase_id").alias("frase")).distinct(), "hits")
+    # notes are counted by phrase before its keywords come in; a keyword that stands in the table with several phrases counts each note once
+    sets = k.groupBy("keyword_id").agg(F.array_sort(F.collect_set("frase")).alias("frases"))
+    one = sets.where("size(frases) = 1").select("keyword_id", F.col("frases")[0].alias("frase")).join(hit.groupBy("frase").agg(F.count("*").alias("notas")), "frase").select("keyword_id", "notas")
+    some = sets.where("size(frases) > 1")
+    notes = some.select("frases").distinct().select("frases", F.explode("frases").alias("frase")).join(hit, "frase").groupBy("frases").agg(F.count_distinct("noticia_id").alias("notas"))
+    return one.unionByName(some.join(notes, "frases").select("keyword_id", "notas"))
 
 
 def keyword_mentions(spark: SparkSession, folder: str) -> DataFrame:
