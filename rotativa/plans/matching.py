@@ -112,15 +112,9 @@ def keyword_mentions(spark: SparkSession, folder: str) -> DataFrame:
     for field, role in (("alias_o_variantes", "si"), ("contexto_excluir", "no"), ("contexto_incluir", "con")):
         cells.append(explode_packed(k, "keyword_id", field).select(F.col("clave").alias("keyword_id"), F.lit(role).alias("rol"), F.col("valor").alias("frase")))
     asked = reduce(DataFrame.unionByName, cells).withColumn("frase", fold_words("frase")).where("frase != ''").distinct()
-    hit = R.phrase_hits(_notes(spark, folder), asked.select("frase").distinct().withColumn("frase_id", F.col("frase")), FIELDS, "noticia_id")
-    weight = F.create_map(*(F.lit(x) for f in FIELDS for x in (f, R.WEIGHTS[f])))
-    per = hit.withColumnRenamed("frase_id", "frase").join(asked, "frase").groupBy("noticia_id", "keyword_id").agg(
-        F.max(F.when(F.col("rol") == "si", F.struct(F.element_at(weight, F.col("campo")).alias("score"), F.lit(0) - F.length("campo"), "campo"))).alias("m"),
-        F.bool_or(F.col("rol") == "no").alias("malo"), F.bool_or(F.col("rol") == "con").alias("con"), F.sum(F.when(F.col("rol") == "si", F.col("veces"))).alias("veces"),
-    )
-    needs = asked.where("rol = 'con'").select("keyword_id", F.lit(True).alias("pide")).distinct()
-    good = per.where("m IS NOT NULL AND NOT malo").join(needs, "keyword_id", "left").where("con OR pide IS NULL")
-    return good.select("noticia_id", "keyword_id", "m.campo", "m.score", "veces")
+    frases = keep(asked.select("frase").distinct().withColumn("frase_id", F.monotonically_increasing_id()), "frases")
+    hit = R.phrase_hits(_notes(spark, folder), frases, FIELDS, "noticia_id")
+    return R.keyword_documents(hit, asked.join(frases, "frase"), "noticia_id")
 
 
 def lake_search(spark: SparkSession, folder: str) -> DataFrame:
